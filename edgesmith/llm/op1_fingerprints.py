@@ -7,7 +7,7 @@ containment and the number of distinct shingles; below k shingles all three are
 Defined results: null and empty texts and texts without words have the empty sketch; two empty
 sketches have resemblance 1, an empty and a full one 0. A null ``doc_id`` sorts first. Rows that
 share a ``doc_id`` are neighbours in the order of their compressed texts. An empty table gives an
-empty result. Other columns of the input, whatever their names, are not read.
+empty result. Other columns, whatever their names, come back in ``row`` or are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 from .common import partitions, table
@@ -67,16 +68,16 @@ def decode(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = 5, name: str = "fingerprint") -> DataFrame:
-    """``docs`` with one more column: each text's encoded sketch. No shuffle."""
+def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = 5) -> DataFrame:
+    """row (the input's columns) and fingerprint, each text's encoded sketch. No shuffle."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [encode(s) for s in sketches(batch.column(text), k, width)]
-            yield batch.append_column(name, pa.array(made, pa.string()))
+            made = [encode(s) for s in sketches(batch.column(1), k, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["row", "fingerprint"])
 
-    schema = docs.schema.add(name, "string")
-    return docs.mapInArrow(add, schema)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns)).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.mapInArrow(add, T.StructType([rows.schema["row"], T.StructField("fingerprint", T.StringType())]))
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles_estimate double, containment_in_edited double"

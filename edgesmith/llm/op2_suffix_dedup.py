@@ -30,35 +30,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
 from .common import table, text_bytes
+from .packs import MESSAGE, Digits, messages, spread, squeeze
 
 THRESHOLD = 50
 GRAM = 24
 PACK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 U = np.uint64
-_MSG = "bucket long, g long, blob binary"
-
-
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of any types in one compressed blob."""
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8")
-    return zstandard.ZstdCompressor(1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
-
-
-def _spread(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes, at, out = np.frombuffer(raw, "<i8", n, 8), 8 * (n + 1), []
-    for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, int(size) // np.dtype(kind).itemsize, at))
-        at += int(size)
-    return out
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +84,6 @@ class _Pack:
             self.doc = np.searchsorted(self.offsets, self.at, "right") - 1
 
 
-def _messages(buckets: list[int], gs: list[int], blobs: list[bytes]) -> pa.Table:
-    return pa.table([pa.array(buckets, pa.int64()), pa.array(gs, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "g", "blob"])
-
-
 def _refine(groups: np.ndarray, digit: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One radix pass: rows in order of (group, digit), and their new groups."""
     order = np.lexsort((digit, groups))
@@ -251,7 +230,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = text_bytes(docs, text_col)
     n_packs = max(1, math.ceil(total / pack_bytes))
     n_buckets = max(1, math.ceil(total / (2 * pack_bytes)))
-    width = 6 if math.log2(total + 2) + 14 <= 48 else 8
+    codes = Digits(total, n_buckets)
     others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(7)), F.lit(n_packs)).alias("g"),
@@ -260,46 +239,16 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     packs = rows.groupBy("g")
 
-    def short(digits: np.ndarray) -> np.ndarray:
-        return digits >> U(64 - 8 * width)
-
-    def to_bytes(digits: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(digits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-
-    def from_bytes(raw: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(raw) // width, 8), np.uint8)
-        out[:, :width] = raw.reshape(-1, width)
-        return out.view("<u8").ravel()
-
     def first_digits(rows: pa.Table) -> pa.Table:
-        g = rows.column("g")[0].as_py()
-        digits = np.unique(short(_Pack(rows, threshold, gram).digits))
-        home = digits % U(n_buckets)
-        order = np.argsort(home, kind="stable")
-        keys, where = np.unique(home, return_index=False), np.searchsorted(home[order], np.unique(home))
-        parts = np.split(digits[order], where[1:])
-        return _messages([int(x) for x in keys], [g] * len(keys), [_squeeze(to_bytes(p)) for p in parts if len(keys)])
-
-    def repeated(rows: pa.Table) -> pa.Table:
-        """First radix pass: digits that two packs hold."""
-        gs, blobs = rows.column("g").to_pylist(), rows.column("blob").to_pylist()
-        lists = [from_bytes(_spread(b, "u1")[0]) for b in blobs]
-        every = np.sort(np.concatenate(lists))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        out_g, out_b = [], []
-        for g, digits in zip(gs, lists, strict=True):
-            if len(keep := digits[np.isin(digits, twice, assume_unique=True)]):
-                out_g.append(g)
-                out_b.append(_squeeze(to_bytes(keep)))
-        return _messages([0] * len(out_g), out_g, out_b)
+        return codes.deal(rows.column("g")[0].as_py(), np.unique(codes.short(_Pack(rows, threshold, gram).digits)))
 
     def suffixes(rows: pa.Table, hits: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return _messages([], [], [])
+            return messages([], [], [])
         g = rows.column("g")[0].as_py()
         pack = _Pack(rows, threshold, gram)
-        digits = short(pack.digits)
-        known = np.unique(np.concatenate([np.zeros(0, U), *(from_bytes(_spread(b, "u1")[0]) for b in hits.column("blob").to_pylist())]))
+        digits = codes.short(pack.digits)
+        known = codes.told(hits)
         keys, inverse = np.unique(digits, return_inverse=True)
         ids = pack.ids[pack.doc]
         small, large = np.full(len(keys), LAST, np.int64), np.full(len(keys), np.iinfo(np.int64).min, np.int64)
@@ -307,7 +256,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         np.maximum.at(large, inverse, ids)
         take = np.flatnonzero(((small < large) | np.isin(keys, known))[inverse])
         if not len(take):
-            return _messages([], [], [])
+            return messages([], [], [])
         at, doc, ids, digits = pack.at[take], pack.doc[take], ids[take], digits[take]
         records = _records(pack, at, doc, threshold, gram)
         lead = _collapse(records, ids)
@@ -320,9 +269,9 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             low, high = np.maximum(0, side - records[later, -1].astype(np.int32)), np.minimum(side, records[later, -2].astype(np.int32))
             a, b = _spans_of(low, high, local[later], threshold)
             ok = low <= high
-            buckets, gs, blobs = [-1 - g], [g], [_squeeze(doc[later][ok].astype("<i4"), a[ok].astype("<i8"), b[ok].astype("<i8"))]
+            buckets, gs, blobs = [-1 - g], [g], [squeeze(doc[later][ok].astype("<i4"), a[ok].astype("<i8"), b[ok].astype("<i8"))]
         twins = np.flatnonzero((lead != np.arange(len(lead))) & (ids == ids[lead]))  # same document, same surroundings
-        home = (digits % U(n_buckets)).astype(np.int64)
+        home = codes.home(digits)
         rank = np.empty(len(lead), np.int64)
         for bucket in np.unique(home[leads]):
             mine = leads[home[leads] == bucket]
@@ -330,15 +279,15 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             t = twins[home[twins] == bucket]
             buckets.append(int(bucket))
             gs.append(g)
-            blobs.append(_squeeze(records[mine], ids[mine].astype("<i8"), doc[mine].astype("<i4"), local[mine].astype("<i8"), rank[lead[t]].astype("<i4"), doc[t].astype("<i4"), local[t].astype("<i8")))
-        return _messages(buckets, gs, blobs)
+            blobs.append(squeeze(records[mine], ids[mine].astype("<i8"), doc[mine].astype("<i4"), local[mine].astype("<i8"), rank[lead[t]].astype("<i4"), doc[t].astype("<i4"), local[t].astype("<i8")))
+        return messages(buckets, gs, blobs)
 
     def groups(rows: pa.Table) -> pa.Table:
         """The other passes, for the suffixes of one bucket."""
         gs, blobs = rows.column("g").to_pylist(), rows.column("blob").to_pylist()
         if rows.column("bucket")[0].as_py() < 0:
-            return _messages([0] * len(gs), gs, blobs)
-        lots = [_spread(b, "u1", "<i8", "<i4", "<i8", "<i4", "<i4", "<i8") for b in blobs]
+            return messages([0] * len(gs), gs, blobs)
+        lots = [spread(b, "u1", "<i8", "<i4", "<i8", "<i4", "<i4", "<i8") for b in blobs]
         sizes = [len(x[1]) for x in lots]
         records = np.concatenate([x[0] for x in lots]).reshape(sum(sizes), -1)
         low, high = _covered(records, np.concatenate([x[1] for x in lots]), threshold, gram)
@@ -351,8 +300,8 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             at += size
             if len(a):
                 out_g.append(g)
-                out_b.append(_squeeze(np.concatenate([doc, t_doc])[ok].astype("<i4"), a.astype("<i8"), b.astype("<i8")))
-        return _messages([0] * len(out_g), out_g, out_b)
+                out_b.append(squeeze(np.concatenate([doc, t_doc])[ok].astype("<i4"), a.astype("<i8"), b.astype("<i8")))
+        return messages([0] * len(out_g), out_g, out_b)
 
     carry = rows.schema["carry"].dataType
     result = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string, carry {carry.simpleString()}"
@@ -360,7 +309,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def cut(rows: pa.Table, hits: pa.Table) -> pa.Table:
         pack = _Pack(rows, threshold, gram, anchored=False)
-        lots = [_spread(b, "<i4", "<i8", "<i8") for b in hits.column("blob").to_pylist()]
+        lots = [spread(b, "<i4", "<i8", "<i8") for b in hits.column("blob").to_pylist()]
         doc, a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in lots)]) for k in range(3))
         order = np.lexsort((a, doc))
         doc, a, b = doc[order], a[order], b[order]
@@ -385,10 +334,10 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         cols = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
         return pa.table([pack.rows.column("id"), *cols, pack.rows.column("carry")], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", "carry"])
 
-    digits = packs.applyInArrow(first_digits, _MSG)
-    hits = digits.groupBy("bucket").applyInArrow(repeated, _MSG)
-    found = packs.cogroup(hits.groupBy("g")).applyInArrow(suffixes, _MSG)
-    spans = found.groupBy("bucket").applyInArrow(groups, _MSG)
+    digits = packs.applyInArrow(first_digits, MESSAGE)
+    hits = digits.groupBy("bucket").applyInArrow(lambda rows: codes.repeated(rows), MESSAGE)
+    found = packs.cogroup(hits.groupBy("g")).applyInArrow(suffixes, MESSAGE)
+    spans = found.groupBy("bucket").applyInArrow(groups, MESSAGE)
     return packs.cogroup(spans.groupBy("g")).applyInArrow(cut, result)
 
 
