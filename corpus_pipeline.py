@@ -30,16 +30,16 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     group = F.struct("component", F.when(F.col("component").isNull(), F.struct("id", "text_hash")))
     first = found.groupBy(group.alias("group")).agg(F.min(F.struct("id", "text_hash")).alias("first"))
     keep = first.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    one = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    one = rows.join(keep, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    return one.select("row", F.col("row.doc_id").alias("doc_id"), "hash").dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that earlier documents hold; n_chars follows."""
-    out = removed_passages(docs).select("id", "kept_text", "carry.*")
-    out = out.withColumnsRenamed({"id": "doc_id", "kept_text": "text"}).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    out = removed_passages(docs)
+    made = {"doc_id": F.col("id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return out.select(*[made.get(c, F.col(f"carry.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
