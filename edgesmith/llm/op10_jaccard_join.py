@@ -215,12 +215,15 @@ def _partner_sets(docs: DataFrame, id_col: str, text_col: str, percent: int, wid
             if k is not None:
                 leads.setdefault(k, i)
         # digits in two different texts of this pack, copies of one set included
-        local = np.sort(np.concatenate([np.zeros(0, U), *(np.unique(ahead(s)) for s in sets if len(s))]))
+        asked = [np.unique(ahead(s)) if len(s) else np.zeros(0, U) for s in sets]
+        local = np.sort(np.concatenate([np.zeros(0, U), *asked]))
         known = np.union1d(known, local[1:][local[1:] == local[:-1]])
+        met = np.isin(np.concatenate([np.zeros(0, U), *asked]), known)
+        met = np.concatenate([[0], np.cumsum(met)])[np.concatenate([[0], np.cumsum([len(x) for x in asked], dtype=np.int64)])]
         out_key, out_tokens = [], []
         for i, s in enumerate(sets):
             n = np.int64(len(s))
-            fit = n and int(np.isin(ahead(s), known).sum()) >= int(_spare(_least_partner(n, percent)))
+            fit = n and int(met[i + 1] - met[i]) >= int(_spare(_least_partner(n, percent)))
             out_key.append(keys[i] if fit else None)
             out_tokens.append(s.astype("<u8").tobytes() if fit and leads[keys[i]] == i else None)
         n = pa.array([len(s) for s in sets], pa.int64())
