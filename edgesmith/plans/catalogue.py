@@ -1,5 +1,7 @@
 """Every query of the engine by name, with its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from edgesmith.plans import graph_queries
+
+QUERIES: dict = {**graph_queries.QUERIES}
+SQL: dict = {**graph_queries.SQL}
 FLAGSHIP = "walk_candidates"
