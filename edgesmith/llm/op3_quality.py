@@ -78,12 +78,13 @@ def host_rates(judged: DataFrame, host: str, failed: str, max_rate: float = MAX_
     """host, n_docs, n_failed, shrunk_rate, rejected: one row per host."""
     hosts = judged.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    # sums over at most one row a host, after the hosts' own partial sums; one row, so a safe broadcast
-    moments = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    strength = F.when(F.col("v") > 0, F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
-    prior = moments.select((F.col("m") * strength).alias("alpha"), ((1 - F.col("m")) * strength).alias("beta"))
-    shrunk = (F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("alpha") + F.col("beta"))
-    return hosts.join(F.broadcast(prior)).select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("rejected"))
+    # two numbers reach the driver and go back as literals, so nothing is joined crosswise
+    moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
+    mean, spread = moments["m"] or 0.0, moments["v"] or 0.0
+    strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+    alpha, beta = mean * strength, (1 - mean) * strength
+    shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
+    return hosts.select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("rejected"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list[str] | None = None, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
