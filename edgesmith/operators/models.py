@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgesmith.functions.lineage import cut
-from edgesmith.functions.portable import digest, hadamard, normalised
+from edgesmith.functions.portable import digest, hadamard
 from edgesmith.operators.graph import Graph, degrees
 from edgesmith.operators.metrics import hard_average_precision
 
@@ -92,12 +92,17 @@ def structure_embedding(similarity: DataFrame, marks: list) -> DataFrame:
     for r in similarity.where(F.col("node").isin(marks)).collect():
         w[place[r["node"]], place[r["landmark"]]] = r["sim"]
     u, s, _ = np.linalg.svd(np.linalg.pinv(w))
-    square = (u * np.sqrt(s)).tolist()
+    square = u * np.sqrt(s)
     row = F.transform(F.array_sort(F.collect_list(F.struct("landmark", "sim"))), lambda x: x["sim"])
     rows = similarity.groupBy(F.col("node").alias("id")).agg(row.alias("c"))
-    columns = [F.array(*[F.lit(square[i][j]) for i in range(p)]) for j in range(p)]
-    vec = F.array(*[F.aggregate(F.zip_with("c", col, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) for col in columns])
-    return rows.select("id", normalised(vec).alias("vec"))
+
+    def multiply(batches):
+        for pdf in batches:
+            made = np.stack(pdf["c"].to_numpy()) @ square if len(pdf) else np.zeros((0, p))
+            length = np.linalg.norm(made, axis=1, keepdims=True)
+            yield pdf[["id"]].assign(vec=list(made / np.where(length > 0, length, 1.0)))
+
+    return rows.mapInPandas(multiply, "id long, vec array<double>")
 
 
 def factor_embedding(graph: Graph, dim: int = 16, window: int = 2, negative: int = 1) -> DataFrame:

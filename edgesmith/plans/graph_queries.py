@@ -86,13 +86,14 @@ def sample_nodes(spark, sf):
     return splits.sample_nodes(V.part_graph(spark, sf).all_nodes(), 100)
 
 
-@query(f"""{GU}, k AS (SELECT node, row_number() OVER (ORDER BY node) AS rn, count(*) OVER () AS n FROM deg), s AS (SELECT max(n) AS n FROM k),
-d AS (SELECT i AS id, ('0x' || substr(md5(concat_ws('|', '42', i, 0)), 1, 7))::BIGINT % n + 1 AS a, ('0x' || substr(md5(concat_ws('|', '42', i, 1)), 1, 7))::BIGINT % n + 1 AS b FROM s, range(4000) r(i)),
+@query(f"""{GU}, k AS (SELECT node, row_number() OVER (ORDER BY node) AS rn, count(*) OVER () AS n FROM deg), s AS (SELECT max(n) AS n FROM k), sz AS (SELECT (round_even(count(*) * 0.2::DOUBLE, 0) + round_even(count(*) * 0.1::DOUBLE, 0))::BIGINT AS c FROM gu),
+d AS (SELECT i AS id, ('0x' || substr(md5(concat_ws('|', '42', i, 0)), 1, 7))::BIGINT % n + 1 AS a, ('0x' || substr(md5(concat_ws('|', '42', i, 1)), 1, 7))::BIGINT % n + 1 AS b FROM s, range((SELECT 2 * c FROM sz)::BIGINT) r(i)),
 p AS (SELECT least(x.node, y.node) AS u, greatest(x.node, y.node) AS v, min(id) AS id FROM d JOIN k x ON x.rn = a JOIN k y ON y.rn = b WHERE a <> b GROUP BY ALL)
-SELECT u, v FROM p WHERE NOT EXISTS (SELECT 1 FROM gu WHERE gu.u = p.u AND gu.v = p.v) ORDER BY id LIMIT 2000""")
+SELECT u, v FROM p WHERE NOT EXISTS (SELECT 1 FROM gu WHERE gu.u = p.u AND gu.v = p.v) ORDER BY id LIMIT (SELECT c FROM sz)""")
 def negatives(spark, sf):
     g = V.part_graph(spark, sf)
-    return splits.negatives(g.edges, g.size()[0], 2000)
+    n, m = g.size()
+    return splits.negatives(g.edges, n, round(0.2 * m) + round(0.1 * m))
 
 
 WEDGES = f"""{GU}, w AS (SELECT x.dst AS u, y.dst AS v, count(*) AS common, sum(1 / ln(d.deg::DOUBLE)) AS aa FROM adj x JOIN adj y ON x.src = y.src AND x.dst < y.dst JOIN deg d ON d.node = x.src GROUP BY ALL),
@@ -177,25 +178,25 @@ def walk_candidates_bipartite(spark, sf):
     return w.candidates(w.state(3))
 
 
-SOURCES = "src0 AS (SELECT node AS q FROM deg ORDER BY md5(concat_ws('|', '42', node)), node LIMIT {k})"
+SOURCES = "src0 AS (SELECT node AS q FROM deg)"
 
 
 def _pagerank_sql(rounds: int) -> str:
-    sql = f"{GU}, {SOURCES.format(k=50)}, p0 AS (SELECT q, q AS v, 1.0::DOUBLE AS p FROM src0)"
+    sql = f"{GU}, {SOURCES}, p0 AS (SELECT q, q AS v, 1.0::DOUBLE AS p FROM src0)"
     for i in range(1, rounds + 1):
         sql += f", p{i} AS MATERIALIZED (SELECT q, v, sum(p) AS p FROM (SELECT s.q, a.dst AS v, 0.8::DOUBLE * p / d.deg AS p FROM p{i - 1} s JOIN adj a ON a.src = s.v JOIN deg d ON d.node = a.src UNION ALL SELECT q, q, 1 - 0.8::DOUBLE FROM src0) GROUP BY ALL)"
     return sql + f""", r AS (SELECT q, v, p, row_number() OVER (PARTITION BY q ORDER BY round(p, 12) DESC, v) AS rk FROM p{rounds} s WHERE q <> v AND NOT EXISTS (SELECT 1 FROM adj WHERE src = q AND dst = s.v))
 SELECT q, v, round(p, 9) AS p FROM r WHERE rk <= 10"""
 
 
-@query(_pagerank_sql(5))
+@query(_pagerank_sql(3))
 def ppr_topk(spark, sf):
     g = V.part_graph(spark, sf)
-    return walkrank.pagerank(g, V.some_nodes(g, 50), 10, iterations=5)
+    return walkrank.pagerank(g, g.all_nodes(), 10, iterations=3)
 
 
 def _restart_sql(steps: int) -> str:
-    sql = f"{GU}, {SOURCES.format(k=50)}, nb AS (SELECT a.*, d.deg, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM adj a JOIN deg d ON d.node = src), m0 AS (SELECT q, q AS v, q AS pos FROM src0)"
+    sql = f"{GU}, {SOURCES}, nb AS (SELECT a.*, d.deg, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM adj a JOIN deg d ON d.node = src), m0 AS (SELECT q, q AS v, q AS pos FROM src0)"
     for s in range(steps):
         h = lambda what: f"('0x' || substr(md5(concat_ws('|', '42', q, {s}, '{what}')), 1, 7))::BIGINT"  # noqa: B023, E731
         sql += f", m{s + 1} AS MATERIALIZED (SELECT q, dst AS v, CASE WHEN {h('back')} < {int(0.1 * (1 << 28))} THEN q ELSE dst END AS pos FROM m{s} JOIN nb ON src = pos AND i = {h('step')} % deg)"
@@ -205,29 +206,29 @@ def _restart_sql(steps: int) -> str:
 @query(f"{_restart_sql(6)} SELECT * FROM vis")
 def restart_visits(spark, sf):
     g = V.part_graph(spark, sf)
-    return walkrank.restart_walks(g, V.some_nodes(g, 50), 6)
+    return walkrank.restart_walks(g, g.all_nodes(), 6)
 
 
 @query(f"{_restart_sql(6)}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY visits DESC, v) AS rk FROM vis s WHERE q <> v AND NOT EXISTS (SELECT 1 FROM adj WHERE src = q AND dst = s.v)) SELECT q, v, visits FROM r WHERE rk <= 3")
 def restart_topk(spark, sf):
     g = V.part_graph(spark, sf)
-    return walkrank.walk_candidates(g, walkrank.restart_walks(g, V.some_nodes(g, 50), 6), 3)
+    return walkrank.walk_candidates(g, walkrank.restart_walks(g, g.all_nodes(), 6), 3)
 
 
-def _layers_sql(depth: int, k: int) -> str:
-    sql = f"{GU}, {SOURCES.format(k=k)}, s0 AS (SELECT q, q AS v, 0 AS hop FROM src0)"
+def _layers_sql(depth: int) -> str:
+    sql = f"{GU}, {SOURCES}, s0 AS (SELECT q, q AS v, 0 AS hop FROM src0)"
     for i in range(1, depth + 1):
         sql += f", s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT DISTINCT s.q, a.dst, {i} FROM s{i - 1} s JOIN adj a ON a.src = s.v WHERE s.hop = {i - 1} AND NOT EXISTS (SELECT 1 FROM s{i - 1} z WHERE z.q = s.q AND z.v = a.dst))"
     return sql
 
 
-@query(f"{_layers_sql(2, 200)} SELECT * FROM s2")
+@query(f"{_layers_sql(2)} SELECT * FROM s2")
 def khop_layers(spark, sf):
     g = V.part_graph(spark, sf)
-    return search.layers(g, V.some_nodes(g, 200), 2)
+    return search.layers(g, g.all_nodes(), 2)
 
 
-@query(f"{_layers_sql(4, 100)}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hop, v) AS rk FROM s4 WHERE hop > 0) SELECT q, v, hop FROM r WHERE rk <= 40")
+@query(f"{_layers_sql(4)}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hop, v) AS rk FROM s4 WHERE hop > 0) SELECT q, v, hop FROM r WHERE rk <= 40")
 def bfs_topk(spark, sf):
     g = V.part_graph(spark, sf)
-    return search.bfs_candidates(g, V.some_nodes(g, 100), 40)
+    return search.bfs_candidates(g, g.all_nodes(), 40)

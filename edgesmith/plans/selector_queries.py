@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edgesmith.functions.lineage import cut
 from edgesmith.functions.portable import digest
 from edgesmith.operators import graph as G
 from edgesmith.operators import grouped, knn, lsh, metrics, models, scores, search, splits
@@ -165,12 +166,12 @@ def pair_features(spark, sf):
     return f.select("u", "v", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 9).alias("total"), F.round(F.col("features")[0], 9).alias("head"))
 
 
-@query(f"{EVERY} SELECT u, v, CASE WHEN same AND (u + v) % 7 = 0 THEN 1.0 ELSE round(1 / (1 + exp(-score)), 9) END::DOUBLE AS p FROM ex WHERE v = u + 1 OR (same AND (u + v) % 7 = 0)")
+@query(f"{EVERY} SELECT u, v, CASE WHEN same THEN 1.0 ELSE round(1 / (1 + exp(-score)), 9) END::DOUBLE AS p FROM ex")
 def oracle_perfect(spark, sf):
     e = V.vectors(spark, sf)
     every = knn.exhaustive(e).join(e.select(F.col("id").alias("u"), F.col("label").alias("lu")), "u").join(e.select(F.col("id").alias("v"), F.col("label").alias("lv")), "v")
-    hidden = every.where("lu = lv and (u + v) % 7 = 0").select("u", "v")
-    asked = every.where("v = u + 1 or (lu = lv and (u + v) % 7 = 0)").select("u", "v", F.round(1 / (1 + F.exp(-F.col("score"))), 9).alias("p"))
+    hidden = every.where("lu = lv").select("u", "v")
+    asked = every.select("u", "v", F.round(1 / (1 + F.exp(-F.col("score"))), 9).alias("p"))
     return models.with_truth(asked, hidden)
 
 
@@ -182,12 +183,12 @@ def average_precision(spark, sf):
     return metrics.hard_average_precision(x.select((F.col("lu") == F.col("lv")).cast("long").alias("y"), (F.col("score") > 0.1).cast("long").alias("yhat")))
 
 
-@query(f"""WITH {VE}, c AS (SELECT id AS cluster, vec AS centre FROM ve WHERE id < 10),
+@query(f"""WITH {VE}, c AS (SELECT id AS cluster, vec AS centre FROM ve QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) = 1),
 d AS (SELECT ve.id, cluster, round(list_sum(list_transform(list_zip(vec, centre), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 9) AS d FROM ve, c)
 SELECT id, cluster FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1""")
 def kmeans_assign(spark, sf):
     e = V.vectors(spark, sf)
-    return models.assign(e, e.where("id < 10").select(F.col("id").alias("cluster"), F.col("vec").alias("centre")))
+    return models.assign(e, G.ranked(e, ["label"], "id").where("rk = 1").select(F.col("id").alias("cluster"), F.col("vec").alias("centre")))
 
 
 @query()
@@ -203,7 +204,7 @@ def logistic_scores(spark, sf):
     fit = models.pair_features(rows.where("d < '2'"), e)
     held = models.pair_features(rows.where("d >= 'e'"), e)
     model, _ = models.fit_links(fit, held, (0.1, 1.0), 50)
-    return models.link_probability(model, rows.where("d >= 'c' and d < 'e'").select("u", "v"), e)
+    return models.link_probability(model, rows.select("u", "v"), e)
 
 
 @query("WITH " + VE + """, f AS (SELECT id AS node, unnest(range(64)) AS c, unnest(vec) AS f FROM ve), t AS (SELECT c, max(f) AS top FROM f GROUP BY c),
@@ -226,12 +227,12 @@ def nmf_ensemble(spark, sf):
     return models.nmf_ensemble(V.part_graph(spark, sf), 500, bags=4, share=0.02)
 
 
-FEATURES = f"{_layers_sql(2, 200)}, sf AS (SELECT q AS node, deg AS d, round(sum(pow(0.1, hop)), 9) AS x FROM s2 JOIN deg ON deg.node = s2.v GROUP BY ALL)"
+FEATURES = f"{_layers_sql(2)}, sf AS (SELECT q AS node, deg AS d, round(sum(pow(0.1, hop)), 9) AS x FROM s2 JOIN deg ON deg.node = s2.v GROUP BY ALL)"
 
 
 def _features(spark, sf):
     g = V.part_graph(spark, sf)
-    return models.structure_features(g, search.layers(g, V.some_nodes(g, 200), 2))
+    return models.structure_features(g, search.layers(g, g.all_nodes(), 2))
 
 
 @query(f"{FEATURES} SELECT node, d, x FROM sf")
@@ -239,19 +240,21 @@ def structure_features(spark, sf):
     return _features(spark, sf)
 
 
-@query(f"""{FEATURES}, lm AS (SELECT q AS landmark FROM src0 ORDER BY md5(concat_ws('|', '42', q)), q LIMIT 20), ds AS (SELECT DISTINCT d FROM sf),
+@query(f"""{FEATURES}, lm AS (SELECT q AS landmark FROM src0 ORDER BY md5(concat_ws('|', '42', q)), q LIMIT (SELECT least(floor(10 * log2(count(*)))::BIGINT, count(*)) FROM src0)), ds AS (SELECT DISTINCT d FROM sf),
 g AS (SELECT n.node, lm.landmark, sum(pow(coalesce(a.x, 0) - coalesce(b.x, 0), 2)) AS gap FROM (SELECT DISTINCT node FROM sf) n CROSS JOIN lm CROSS JOIN ds LEFT JOIN sf a ON a.node = n.node AND a.d = ds.d LEFT JOIN sf b ON b.node = lm.landmark AND b.d = ds.d GROUP BY ALL)
 SELECT node, landmark, round(exp(-sqrt(round(gap, 9))), 9) AS sim FROM g""")
 def landmark_similarity(spark, sf):
-    f = _features(spark, sf)
-    marks = f.select("node").distinct().orderBy(digest(42, "node"), "node").limit(20)
+    f = cut(_features(spark, sf))
+    nodes = f.select("node").distinct()
+    marks = models.landmarks(nodes, nodes.count())
     return models.landmark_similarity(f, marks)
 
 
 @query()
 def structure_embedding(spark, sf):
-    f = _features(spark, sf)
-    marks = [r[0] for r in f.select("node").distinct().orderBy(digest(42, "node"), "node").limit(20).collect()]
+    f = cut(_features(spark, sf))
+    nodes = f.select("node").distinct()
+    marks = [r[0] for r in models.landmarks(nodes, nodes.count()).collect()]
     similarity = models.landmark_similarity(f, f.select("node").distinct().where(F.col("node").isin(marks)))
     return models.structure_embedding(similarity, sorted(marks))
 
@@ -283,7 +286,7 @@ def walk_counts(spark, sf):
 
 def _corpus_sql(steps: int) -> str:
     h = lambda s, what: f"('0x' || substr(md5(concat_ws('|', '42', node, walk, {s}, '{what}')), 1, 7))::BIGINT"
-    sql = f"{COUNTS}, {SOURCES.format(k=100)}, nb AS (SELECT a.*, deg, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM adj a JOIN deg ON node = src), st AS (SELECT wc.* FROM wc JOIN src0 ON q = node), y0 AS (SELECT node, unnest(range(1, walks + 1)) AS walk, node AS loc FROM st)"
+    sql = f"{COUNTS}, {SOURCES}, nb AS (SELECT a.*, deg, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM adj a JOIN deg ON node = src), st AS (SELECT wc.* FROM wc JOIN src0 ON q = node), y0 AS (SELECT node, unnest(range(1, walks + 1)) AS walk, node AS loc FROM st)"
     for s in range(1, steps + 1):
         sql += f", z{s} AS (SELECT node, walk, dst AS loc FROM y{s - 1} JOIN nb ON src = loc AND i = {h(s, 'one')} % deg WHERE {h(s, 'stop')} >= {int(0.15 * (1 << 28))}), y{s} AS MATERIALIZED (SELECT node, walk, dst AS loc FROM z{s} JOIN nb ON src = loc AND i = {h(s, 'two')} % deg)"
     return sql + ", co AS (" + " UNION ALL ".join(f"SELECT node, walk, {s} AS pos, loc FROM y{s}" for s in range(steps + 1)) + ")"
@@ -292,7 +295,7 @@ def _corpus_sql(steps: int) -> str:
 def _corpus(spark, sf):
     g = V.purchase_graph(spark, sf)
     counts = models.walk_counts(models.side_scaled(models.degree_centrality(g)))
-    return g, models.walk_corpus(g, counts.join(V.some_nodes(g, 100), "node", "left_semi"), 4)
+    return g, models.walk_corpus(g, counts, 4)
 
 
 @query(f"{_corpus_sql(4)} SELECT node, walk, pos, loc AS at FROM co")
@@ -333,8 +336,6 @@ SELECT method, h, n_found, n_predicted, nh.n AS n_hidden, n_found / nh.n AS reca
 
 @query(CURVE)
 def recall_curve(spark, sf):
-    from edgesmith.functions.lineage import cut
-
     g = V.part_graph(spark, sf)
     split = cut(splits.temporal_split(g.edges))
     hidden = split.where("part = 'test'").select("u", "v")
@@ -397,14 +398,14 @@ def found_share(spark, sf):
     return metrics.found_share(metrics.filter_runs(_runs(spark, sf), ["F", "O"])).select("dataset", "method", "h", "seq", "tplp")
 
 
-@query(f"""WITH {V.PURCHASES}, ra AS (SELECT u AS user, v AS item, row_number() OVER (PARTITION BY u ORDER BY md5(concat_ws('|', '42', u, v)), v) AS rk FROM gb), re AS (SELECT u AS user, v AS item FROM gb WHERE (u + v) % 3 = 0),
+@query(f"""WITH {V.PURCHASES}, ra AS (SELECT u AS user, v AS item, row_number() OVER (PARTITION BY u ORDER BY md5(concat_ws('|', '42', u, v)), v) AS rk FROM gb), re AS (SELECT u AS user, v AS item FROM gb WHERE ts >= DATE '1997-01-01'),
 hi AS (SELECT ra.*, (re.item IS NOT NULL)::INT AS rel FROM ra LEFT JOIN re USING (user, item) WHERE rk <= 10), so AS (SELECT *, sum(rel) OVER (PARTITION BY user ORDER BY rk) AS so_far FROM hi),
 pe AS (SELECT user, sum(rel) AS found, sum(rel * so_far / rk) AS ap, max(CASE WHEN rel = 1 THEN 1 / rk ELSE 0 END) AS rr, sum(rel / log2(rk + 1)) AS dcg FROM so GROUP BY user), wa AS (SELECT user, count(*) AS wanted, least(count(*), 10) AS most FROM re GROUP BY user)
 SELECT user, round(coalesce(found / 10, 0), 9) AS precision, round(coalesce(found / wanted, 0), 9) AS recall, round(coalesce(ap / most, 0), 9) AS ap, round(coalesce(rr, 0), 9) AS rr, round(coalesce(dcg / list_sum(list_transform(range(1, most + 1), lambda i: 1 / log2(i + 1))), 0), 9) AS ndcg FROM wa LEFT JOIN pe USING (user)""")
 def ranking_metrics(spark, sf):
-    p = V.purchases(spark, sf).select(F.col("u").alias("user"), F.col("v").alias("item"))
-    ranked = G.ranked(p, ["user"], digest(42, "user", "item"), "item")
-    return metrics.ranking_metrics(ranked, p.where("(user + item) % 3 = 0"), 10)
+    p = V.purchases(spark, sf).select(F.col("u").alias("user"), F.col("v").alias("item"), "ts")
+    ranked = G.ranked(p.drop("ts"), ["user"], digest(42, "user", "item"), "item")
+    return metrics.ranking_metrics(ranked, p.where("ts >= date '1997-01-01'").drop("ts"), 10)
 
 
 @query(f"WITH {RUNS} SELECT '2024-01-01' AS date, method, dataset, h, recall, time, h::VARCHAR AS p_h FROM rn")
@@ -414,10 +415,11 @@ def run_json_roundtrip(spark, sf):
     return back.select("date", "method", "dataset", "h", "statistics.recall", "statistics.time", F.col("parameters")["h"].alias("p_h"))
 
 
-@query(f"{GU} SELECT least(u::VARCHAR, v::VARCHAR) AS u, greatest(u::VARCHAR, v::VARCHAR) AS v FROM gu WHERE u % 10 <> 0")
+@query(f"{GU} SELECT least(u::VARCHAR, v::VARCHAR) AS u, greatest(u::VARCHAR, v::VARCHAR) AS v FROM gu")
 def edge_text_parse(spark, sf):
     e = V.shared_orders(spark, sf)
-    lines = e.select(F.concat(F.when(F.col("u") % 10 == 0, "# ").otherwise(""), F.col("v").cast("string"), F.lit("  "), F.col("u").cast("string")).alias("value"))
+    text = F.concat(F.col("v").cast("string"), F.lit("  "), F.col("u").cast("string"))
+    lines = e.select(F.explode(F.array(F.concat(F.lit("# "), text), F.concat(F.lit(" "), text), text)).alias("value"))  # comments and repeats
     return files.edges(spark, lines)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgesmith.functions.portable import digest
 from edgesmith.functions.lineage import cut
 from edgesmith.operators.graph import Graph
 
@@ -46,10 +45,6 @@ def purchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "ts")))
 
 
-def some_nodes(graph: Graph, k: int, seed: int = 42) -> DataFrame:
-    return graph.adj.select(F.col("src").alias("node")).distinct().orderBy(digest(seed, "node"), "node").limit(k)
-
-
 SHARED_ORDERS = """
 lr AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'),
 gu AS (SELECT a.p AS u, b.p AS v, count(*) AS weight, min(o_orderdate) AS ts FROM lr a JOIN lr b ON a.o = b.o AND a.p < b.p JOIN orders ON o_orderkey = a.o GROUP BY ALL),
