@@ -69,7 +69,7 @@ def split_arrays(arrays: DataFrame, both_ways: bool = False) -> DataFrame:
 def adjacency_lists(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """Canonical (u, v) from lines ``v n1 n2 ...``."""
     f = _fields(_lines(spark, source)).where(F.size("f") > 1)
-    pairs = f.select(F.col("f")[0].cast("long").alias("u"), F.explode(F.slice("f", 2, 1 << 30)).cast("long").alias("v"))
+    pairs = f.select(F.col("f")[0].cast("long").alias("u"), F.explode(F.slice("f", 2, 1 << 30).cast("array<long>")).alias("v"))
     return canonical(pairs)
 
 
