@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 from .common import table, text_bytes
@@ -303,8 +304,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out_b.append(squeeze(np.concatenate([doc, t_doc])[ok].astype("<i4"), a.astype("<i8"), b.astype("<i8")))
         return messages([0] * len(out_g), out_g, out_b)
 
-    carry = rows.schema["carry"].dataType
-    result = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string, carry {carry.simpleString()}"
+    result = T.StructType([*T.StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string").fields, rows.schema["carry"]])
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(rows: pa.Table, hits: pa.Table) -> pa.Table:
