@@ -192,7 +192,7 @@ def templates(tokens: DataFrame, support: int = SUPPORT) -> DataFrame:
     """host, in_article and fixed, one row a host: whether the root class holds an article tag, and the root
     class's words outside articles. The root class is at most one page's tokens, so a row is bounded."""
     classes = equivalence_classes(tokens, support)
-    pages = tokens.where(F.col("kind") != WORDS).groupBy("host", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.max("n").alias("host_pages"))
+    pages = classes.groupBy("host").agg(F.max("n_pages").alias("host_pages"))  # some tag is on every page
     root = classes.join(pages, "host").where((F.col("n_pages") == F.col("host_pages")) & (F.col("n_total") == F.col("n_pages")))
     return root.groupBy("host").agg(F.max(F.col("kind") == ARTICLE).alias("in_article"), F.collect_set(F.when(F.col("kind") == WORDS, F.col("token"))).alias("fixed"))
 
