@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import materialise, table
 from .op8_url_filters import host_of
 
 SUPPORT = 3
@@ -201,7 +201,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """row and text for every page."""
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in pages.columns if c != html))
     p = pages.select(row.alias("row"), host_of(F.col(f"`{url}`").cast("string")).alias("host"), F.col(f"`{page_id}`").cast("string").alias("page"), F.col(f"`{html}`").cast("string").alias("html"))
-    deduced = templates(page_tokens(p.where("host <> ''")), support)
+    # written out, so that the join below stands alone: it may be broadcast by size or have a hot host split
+    deduced = materialise(templates(page_tokens(p.where("host <> ''")), support))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
