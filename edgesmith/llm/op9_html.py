@@ -21,7 +21,8 @@ References are decoded, white space in a block becomes one space, blocks are joi
 
 Defined results: null and empty pages have empty text. A page without a host shares no template. Repeated
 pages count as pages of their host. Unclosed, crossed and stray tags are closed as their block ends; a cut-off
-page ends where it ends. An empty table gives an empty result. The input's columns come back in ``row``.
+page ends where it ends, and a tag cut off there is no text. A tag with an odd quote ends at its first ``>``.
+An empty table gives an empty result. The input's columns come back in ``row``.
 """
 
 from __future__ import annotations
@@ -44,11 +45,12 @@ from .op8_url_filters import host_of
 SUPPORT = 3
 
 _RAW = "script|style|noscript|template|textarea|iframe|svg|title|select|object|math"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html head body address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br button label".split())
 _AWAY = frozenset("head nav header footer aside form menu button dialog label fieldset input".split())
+_HEADINGS = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
 _AWAY_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebars?|aside|complementary|contentinfo|"
     r"comments?|disqus|respond|replies|discussion|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|search|forms?|share|sharing|social|related|recommended|widgets?|toolbar|skip|paywall)(?:$|[\s_-])",
@@ -145,7 +147,9 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
         if name in _VOID:
             continue
         inside = name in ("article", "main")
-        away = top.away or (name in _AWAY and not (name == "header" and top.article)) or bool(named and not inside and name not in ("html", "body") and _AWAY_NAMES.search(named))
+        # an article's own heading is its text
+        told = _HEADINGS.sub("", named) if top.article else named
+        away = top.away or (name in _AWAY and not (name == "header" and top.article)) or bool(told and not inside and name not in ("html", "body") and _AWAY_NAMES.search(told))
         # an inner article of the comments is away with them
         stack.append(_Open(name, path, away, top.article or inside))
         if m["attributes"].endswith("/") and name not in _BLOCK:

@@ -223,6 +223,18 @@ def test_article_text(spark):
     assert op9.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="page-header">H</div><article><div class="entry-header"><h1>Title</h1></div><p>a', ["Title", "a"]),
+        ('<article><p>x<div class="header-ad">Buy</div><p>y</article>', ["x", "y"]),
+        ('<p>one < two <a href="three>four</a><p>five</p><p cla', ["one < two four", "five"]),
+    ],
+)
+def test_headings_and_broken_tags(page, want):
+    assert [b.text for b in op9.read_page(page)[0] if not b.away] == want
+
+
 def test_fixed_slots_of_a_host_go_and_articles_stay(spark):
     page = "<html><body><div>Welcome to our site</div><div class=story><p>{}</p></div><div>All rights</div></body></html>"
     rows = [(i, f"http://h.org/{i}", page.format(f"story {i}")) for i in range(5)] + [(7, "http://solo.org/", page.format("only one"))]
