@@ -29,18 +29,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-    The copy survives lost executors. It is removed when the driver exits.
+    The copy survives lost executors. It is removed when the driver exits; its path is added to
+    ``scratch``, if given, so that ``discard`` can remove it as soon as nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/edgesmith-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str], last: int = 0) -> None:
+    """Remove the tables of ``scratch`` but for the ``last`` ones. All that was made of them must be written out."""
+    while len(scratch) > last:
+        _remove(spark, scratch.pop(0))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

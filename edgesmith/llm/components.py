@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(node, label) for every node of the (a, b) links: the label is the component's least node.
 
-    Every round is written to the checkpoint folder; only a count and a checksum reach the driver.
+    Every round is written to the checkpoint folder, and the round before it removed; only a count
+    and a checksum reach the driver. The last round's path is added to ``scratch``.
     """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds: list[str] = []
+    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rounds)
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,10 +27,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        edges = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), rounds)
+        discard(links.sparkSession, rounds, last=1)
         now = _state(edges)
         if now == state:
             break
         state = now
+    if scratch is not None:
+        scratch += rounds
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import materialise, table, text_bytes
+from .common import discard, materialise, table, text_bytes
 from .components import components
 from .packs import MESSAGE, Digits, messages, spread, squeeze
 
@@ -310,29 +310,29 @@ def _solver(percent: int):
     return solve
 
 
-def _links(nodes: DataFrame, percent: int, n_tokens: int, tile_nodes: int, tile_tokens: int) -> DataFrame:
-    """Links between nodes (node, n, tokens) that connect every component."""
-    posts = materialise(_postings(nodes, n_tokens, percent))
+def _links(nodes: DataFrame, percent: int, n_tokens: int, tile_nodes: int, tile_tokens: int, scratch: list[str]) -> DataFrame:
+    """Links between nodes (node, n, tokens) that connect every component; what it writes is named in ``scratch``."""
+    posts = materialise(_postings(nodes, n_tokens, percent), scratch)
     centre = posts.groupBy("token").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1")
     stars = posts.join(centre, "token").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    grouped = components(stars)
+    grouped = components(stars, scratch)
     sized = grouped.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     tiles = F.greatest(F.ceil(F.col("c") / tile_nodes), F.ceil(F.col("s") / tile_tokens)).cast("long")
     sized = sized.select(F.col("label").alias("tree"), "c", tiles.alias("tiles"))
     members = nodes.join(grouped.withColumnRenamed("label", "tree"), "node").join(sized, "tree")
-    members = materialise(members.select("tree", "c", "tiles", "node", "n", "tokens"))
+    members = materialise(members.select("tree", "c", "tiles", "node", "n", "tokens"), scratch)
     n_bins = max(1, math.ceil(8 * n_tokens / (2 * PACK_BYTES)))
     spread_out = F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles"))
     hub = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("node", F.lit(6)), F.ceil(F.col("c") / HUBS).cast("long")) == 0)
     every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
     dealt = members.withColumn("tile", F.explode(F.when(hub, every).otherwise(F.array(spread_out)))).select("tree", "tile", F.lit(-1).alias("part"), F.col("node").alias("label"), "node", "tokens")
     binned = lambda d: d.withColumn("bin", F.pmod(F.xxhash64("tree", "tile", F.lit(4)), F.lit(n_bins))).groupBy("bin")
-    links = materialise(binned(dealt).applyInArrow(_solver(percent), _LINKS))
+    links = materialise(binned(dealt).applyInArrow(_solver(percent), _LINKS), scratch)
     large = members.where("tiles > 1")
     if large.limit(1).count() == 0:
         return links
     # Groups of several tiles: what may still link two components.
-    labels = components(links)
+    labels = components(links, scratch)
     large = large.join(labels.withColumnRenamed("label", "part_of"), "node", "left").withColumn("part_of", F.coalesce("part_of", "node"))
     per = large.groupBy("tree", "part_of").agg(F.count(F.lit(1)).alias("pc"), F.sum("n").alias("ps"))
     share = F.greatest(F.ceil(F.col("pc") / tile_nodes), F.ceil(F.col("ps") / tile_tokens)).cast("long")
@@ -341,35 +341,40 @@ def _links(nodes: DataFrame, percent: int, n_tokens: int, tile_nodes: int, tile_
     large = large.join(per, ["tree", "part_of"])
     mixed = F.pmod(F.xxhash64("part_of"), F.col("tiles"))
     large = large.withColumn("block", F.when(F.col("own"), F.xxhash64("part_of", F.pmod(F.xxhash64("node", F.lit(8)), F.col("share")))).otherwise(F.xxhash64(F.lit("mixed"), mixed)))
-    large = materialise(large.select("tree", "block", "part_of", "node", "n", "tokens"))
+    large = materialise(large.select("tree", "block", "part_of", "node", "n", "tokens"), scratch)
     blocks = large.groupBy("tree", "block").agg(F.min("part_of").alias("p0"), F.max("part_of").alias("p1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    blocks = materialise(blocks)
+    blocks = materialise(blocks, scratch)
     left, right = (blocks.select(F.col("tree"), *[F.col(c).alias(f"{c}_{s}") for c in ("block", "p0", "p1", "n0", "n1")]) for s in ("x", "y"))
     apart = ~((F.col("p0_x") == F.col("p1_x")) & (F.col("p0_y") == F.col("p1_y")) & (F.col("p0_x") == F.col("p0_y")))
     near = (100 * F.col("n1_x") >= percent * F.col("n0_y")) & (100 * F.col("n1_y") >= percent * F.col("n0_x"))
     pairs = left.join(right, "tree").where((F.col("block_x") <= F.col("block_y")) & apart & near).select("tree", "block_x", "block_y", F.xxhash64("block_x", "block_y").alias("tile"))
-    pairs = materialise(pairs)
+    pairs = materialise(pairs, scratch)
     alone = F.col("block_x") == F.col("block_y")
     ends = pairs.select("tree", "tile", F.explode(F.when(alone, F.array(F.struct(F.col("block_x").alias("block"), F.lit(-1).alias("part")))).otherwise(F.array(F.struct(F.col("block_x").alias("block"), F.lit(0).alias("part")), F.struct(F.col("block_y").alias("block"), F.lit(1).alias("part"))))).alias("e"))
     tasks = ends.select("tree", "tile", "e.block", "e.part").join(large, ["tree", "block"]).select("tree", "tile", "part", F.col("part_of").alias("label"), "node", "tokens")
     more = tasks.groupBy("tree", "tile").applyInArrow(_solver(percent), _LINKS)
-    return links.unionByName(materialise(more))
+    return links.unionByName(materialise(more, scratch))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, pack_bytes: int = PACK_BYTES, tile_nodes: int = TILE_NODES, tile_tokens: int = TILE_TOKENS) -> DataFrame:
     """id, text_hash (xxhash64 of the text), n_shingles, component (any node of it; null: alone) and
     component_id for every input row."""
-    found = materialise(_partner_sets(docs, id_col, text_col, percent, width, pack_bytes))
+    spark, scratch = docs.sparkSession, []
+    found = materialise(_partner_sets(docs, id_col, text_col, percent, width, pack_bytes), scratch)
     node = F.xxhash64("key")
     nodes = found.where(F.col("key").isNotNull()).groupBy(node.alias("node")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens", ignorenulls=True).alias("tokens"))
-    nodes = materialise(nodes)
+    nodes = materialise(nodes, scratch)
+    # the rows without their shingles; the shingles themselves are from here on those of the nodes
+    rows = materialise(found.select("id", "text_hash", "n", F.when(F.col("key").isNotNull(), node).alias("node")))
+    discard(spark, scratch, last=1)
     n_tokens = nodes.agg(F.sum("n")).first()[0] or 0
-    labels = components(_links(nodes.select("node", "n", "tokens"), percent, n_tokens, tile_nodes, tile_tokens))
+    labels = components(_links(nodes.select("node", "n", "tokens"), percent, n_tokens, tile_nodes, tile_tokens, scratch), scratch)
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     named = materialise(named)
+    discard(spark, scratch)
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "label").select("node", "label", "component_id")
-    out = found.select("id", "text_hash", "n", F.when(F.col("key").isNotNull(), node).alias("node")).join(ids, "node", "left")
+    out = rows.join(ids, "node", "left")
     return out.select("id", "text_hash", F.col("n").alias("n_shingles"), F.col("label").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
 
 
