@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With it, Spark removes a plan's shuffle files as soon as the plan has run.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: A word is a run of bytes other than space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,12 +35,20 @@ def checkpoint_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-    The copy survives lost executors. It is removed when the driver exits; its path is added to
+    The copy survives lost executors, so the shuffles behind it go at once. It is removed when the driver exits; its path is added to
     ``scratch``, if given, so that ``discard`` can remove it as soon as nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/edgesmith-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     atexit.register(_remove, spark, path)
     if scratch is not None:
         scratch.append(path)
