@@ -21,7 +21,8 @@ References are decoded, white space in a block becomes one space, blocks are joi
 
 Defined results: null and empty pages have empty text. A page without a host shares no template. Repeated
 pages count as pages of their host. Unclosed, crossed and stray tags are closed as their block ends; a cut-off
-page ends where it ends, and a tag cut off there is no text. A tag with an odd quote ends at its first ``>``.
+page ends where it ends, and a tag cut off there is no text. Only scripts, styles, titles, frames, text areas and
+noscript are raw; formulas and an object's fallback are text. A tag with an odd quote ends at its first ``>``.
 An empty table gives an empty result. The input's columns come back in ``row``.
 """
 
@@ -44,12 +45,14 @@ from .op8_url_filters import host_of
 
 SUPPORT = 3
 
-_RAW = "script|style|noscript|template|textarea|iframe|svg|title|select|object|math"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
+_RAW = "script|style|noscript|textarea|iframe|title"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:(?<=[\s\"']/>)|.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html head body address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br button label".split())
-_AWAY = frozenset("head nav header footer aside form menu button dialog label fieldset input".split())
+_AWAY = frozenset("head nav header footer aside form menu button dialog label fieldset input template svg select annotation annotation-xml".split())
+#: A block opened in one of these closes it, but for what it may hold.
+_NARROW, _NARROW_HOLDS = frozenset("svg math select".split()), frozenset("option optgroup hr button br".split())
 _HEADINGS = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
 _AWAY_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebars?|aside|complementary|contentinfo|"
@@ -121,6 +124,10 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
             elif name == "br":
                 say(" ")
             continue
+        if name in _BLOCK and name not in _NARROW_HOLDS:
+            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in _NARROW or stack[k].name in ("foreignobject", "annotation-xml")), 0)
+            if at and stack[at].name in _NARROW:
+                close(at)
         if name in _CLOSES:
             stop = _HOLDS.get(name, _CONTAINERS)
             at = len(stack)

@@ -249,3 +249,12 @@ def test_equivalence_classes(spark):
     tokens = [("h", t, 0, n, op9._digest("at", str(p), str(n))) for p in range(4) for t, n in ((1, 1), (2, 1), (3, p + 1), (4, p + 1))] + [("h", 5, 0, 1, 9)]
     got = {r.token: (r.vector, r.class_size) for r in op9.equivalence_classes(spark.createDataFrame(tokens, op9._TOKENS)).collect()}
     assert got[1] == got[2] and got[3] == got[4] and got[1] != got[3] and 5 not in got and got[1][1] == 2
+
+
+@pytest.mark.parametrize(
+    "before",
+    ['<svg viewBox="0 0 1 1"/>', "<math/>", "<template-part>", "<select-box>", "<title-bar></title-bar>", "<style-guide>", "<svg><path>", "<select><option>o", '<object data="x"/>', "<template><p>t</p></template>", '<iframe src="x" />'],
+)
+def test_only_raw_elements_swallow(before):
+    assert [b.text for b in op9.read_page(f"{before}<article><p>a <math><mi>x</mi><annotation>tex</annotation></math></p><object><p>fallback</p></object><p>b</article><svg></svg>")[0] if not b.away] == ["a x", "fallback", "b"]
+    assert [b.text for b in op9.read_page("<p>a<svg><title>s</title><text>t</text></svg>b<select><option>o</select><script>s</script>c")[0] if not b.away] == ["a", "b", "c"]
