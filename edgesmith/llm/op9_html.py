@@ -11,7 +11,8 @@ tokens that stand once on every page, and a class whose paths extend those of an
 slots. What the template keeps for itself is not the article:
 
 * a slot whose path has a tag for menus, headers, footers, sidebars, forms, scripts or styles, or a class or
-  id naming adverts, notices, comments and the like;
+  id naming adverts, notices, comments and the like (whole, or in its first or last part), unless that holds most of
+  the page's text and is a form, was left open or is only part of a name;
 * a slot outside the article whose words are in the root class, the same words once on every page.
 
 If the page has slots inside an ``article`` or ``main`` tag, they remain; otherwise all others do. Text inside the article is never dropped for being common: copied
@@ -21,7 +22,8 @@ References are decoded, white space in a block becomes one space, blocks are joi
 
 Defined results: null and empty pages have empty text. A page without a host shares no template. Repeated
 pages count as pages of their host. Unclosed, crossed and stray tags are closed as their block ends; a cut-off
-page ends where it ends, and a tag cut off there is no text. Only scripts, styles, titles, frames, text areas and
+page ends where it ends, and a tag cut off there is no text. A body or any content closes the head. An
+article or main tag is the article whatever stands around it, unless that is readers' comments, a closed aside or footer, or related posts. Only scripts, styles, titles, frames, text areas and
 noscript are raw; formulas and an object's fallback are text. A tag with an odd quote ends at its first ``>``.
 An empty table gives an empty result. The input's columns come back in ``row``.
 """
@@ -47,20 +49,29 @@ SUPPORT = 3
 
 _RAW = "script|style|noscript|textarea|iframe|title"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:(?<=[\s\"']/>)|.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html head body address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br button label".split())
 _AWAY = frozenset("head nav header footer aside form menu button dialog label fieldset input template svg select annotation annotation-xml".split())
 #: A block opened in one of these closes it, but for what it may hold.
 _NARROW, _NARROW_HOLDS = frozenset("svg math select".split()), frozenset("option optgroup hr button br".split())
-_HEADINGS = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
-_AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebars?|aside|complementary|contentinfo|"
-    r"comments?|disqus|respond|replies|discussion|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|search|forms?|share|sharing|social|related|recommended|widgets?|toolbar|skip|paywall)(?:$|[\s_-])",
-    re.I,
+_SECTIONS = frozenset("h1 h2 h3 h4 h5 h6 hgroup section".split())
+_PASSES_HEAD = frozenset("html head base basefont bgsound link meta template".split())
+_READERS = frozenset("comment comments disqus respond replies discussion".split())
+_ASIDES = frozenset("aside complementary related recommended".split())
+_AWAY_NAMES = _READERS | _ASIDES | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars contentinfo "
+    "cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter subscribe subscription signup login search form forms share sharing social widget widgets toolbar skip paywall".split()
 )
+#: First and last parts of class names that say what a page has or is filed under, and classes of whole pages.
+_HAS = frozenset("has no with without is not hide show js tag category cat term topic status type format".split())
+_STATE = frozenset("open closed enabled disabled on off active visible hidden layout page template".split())
+_PAGES = frozenset("page layout".split())
+#: From so many characters on, a wrapper that holds most of a page's text is the page's text.
+_MOST = 200
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+_WRAPS = frozenset("nav header footer aside form menu".split())
 _CONTAINERS = frozenset("body article main section div nav header footer aside form table td th ul ol dl blockquote".split())
 
 
@@ -71,16 +82,56 @@ class Block(NamedTuple):
     text: str
 
 
+class _Cause:
+    """Why an element is not the article: its tag, or a name; kind is readers, aside, tag, name or part (of a name).
+    ``around``: the cause around an article that this one stands for inside it."""
+
+    def __init__(self, kind: str, tag: str, around: _Cause | None = None):
+        self.kind, self.tag, self.around, self.shut = kind, tag, around, False
+
+    def left_open(self) -> bool:
+        of = self.around or self
+        return of.tag in _WRAPS and not of.shut
+
+    def loose(self) -> bool:
+        """Whether it may stand around the article: forms, what was never closed, and parts of names."""
+        return self.kind == "part" or self.tag == "form" or self.left_open()
+
+
 class _Open(NamedTuple):
     name: str
     path: str
-    away: bool
+    causes: tuple[_Cause, ...]
     article: bool
+    own: _Cause | None = None
+
+    @property
+    def away(self) -> bool:
+        return bool(self.causes)
+
+
+def _named_away(names: list[tuple[str, str]], article: bool) -> tuple[str, bool] | None:
+    """The class, id or role that tells an element from the article, and whether it is that name as a whole. Of a
+    name in parts the first and the last count; for readers' comments, all."""
+    found = None
+    whole = {w.lower() for _, value in names for w in value.split()}
+    for word in sorted(whole):
+        parts = [x for x in re.split("[-_]+", word) if x]
+        if len(parts) > 1 and (parts[0] in _HAS or parts[-1] in _STATE):
+            continue
+        if article:  # an article's own heading is its text
+            parts = [x for x in parts if x not in ("header", "masthead")]
+        if hit := next((x for x in parts if x in _READERS), None):
+            return hit, True
+        if parts and not whole & _PAGES and (hit := next((x for x in (parts[0], parts[-1]) if x in _AWAY_NAMES), None)):
+            if found is None or hit in _ASIDES:
+                found = hit, len(parts) == 1 or hit in _ASIDES
+    return found
 
 
 def read_page(page: str) -> tuple[list[Block], Counter]:
     """Text blocks of a page, and how often each tag occurs by its path."""
-    blocks, tags, stack, piece = [], Counter(), [_Open("", "", False, False)], []
+    blocks, tags, stack, piece = [], Counter(), [_Open("", "", (), False)], []
     words_of = []
 
     def flush() -> None:
@@ -88,7 +139,7 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
             text = " ".join(entities.unescape("".join(piece)).split())
             if text:
                 top = words_of[-1]
-                blocks.append(Block(top.path, top.away, top.article, text))
+                blocks.append((top, text))
             piece.clear()
 
     def close(at: int) -> None:
@@ -98,6 +149,8 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
 
     def say(text: str) -> None:
         if text:
+            if stack[-1].name == "head" and not text.isspace():
+                close(len(stack) - 1)
             if not piece:
                 words_of[:] = [block_of()]
             piece.append(text)
@@ -120,10 +173,16 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
         if m["shut"]:
             at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name or (stack[k].name in _CONTAINERS and name not in _CONTAINERS and name not in ("html", "head"))), 0)
             if at and stack[at].name == name:
+                if stack[at].own:
+                    stack[at].own.shut = True
                 close(at)
             elif name == "br":
                 say(" ")
             continue
+        if name == "body" or (stack[-1].name == "head" and name not in _PASSES_HEAD):
+            at = next((k for k, o in enumerate(stack) if o.name == "head"), 0)
+            if at:
+                close(at)
         if name in _BLOCK and name not in _NARROW_HOLDS:
             at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in _NARROW or stack[k].name in ("foreignobject", "annotation-xml")), 0)
             if at and stack[at].name in _NARROW:
@@ -141,7 +200,8 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
             at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "p" or stack[k].name in _CONTAINERS), 0)
             if at and stack[at].name == "p":
                 close(at)
-        named = " ".join(x.strip("\"'") for x in _NAMES.findall(m["attributes"])) if m["attributes"] else ""
+        names = [(k.lower(), x.strip("\"'")) for k, x in _NAMES.findall(m["attributes"])] if m["attributes"] else []
+        named = " ".join(x for _, x in names)
         top = stack[-1]
         role = f"{name}.{re.sub(r'[0-9]+', 'N', '.'.join(sorted(named.split())))}" if named else name
         path = f"{top.path}/{role}"
@@ -154,16 +214,42 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
         if name in _VOID:
             continue
         inside = name in ("article", "main")
-        # an article's own heading is its text
-        told = _HEADINGS.sub("", named) if top.article else named
-        away = top.away or (name in _AWAY and not (name == "header" and top.article)) or bool(told and not inside and name not in ("html", "body") and _AWAY_NAMES.search(told))
-        # an inner article of the comments is away with them
-        stack.append(_Open(name, path, away, top.article or inside))
+        own, causes = None, top.causes
+        if inside:
+            # an article of the readers' comments is away with them, one in an aside unless that was left open; else it stands for itself
+            causes = causes if any(c.kind == "readers" for c in causes) else tuple(_Cause("aside", c.tag, c.around or c) for c in causes if c.kind == "aside")
+        elif name in _AWAY and not (name == "header" and top.article):
+            own = _Cause("aside" if name in ("aside", "footer") else "tag", name)
+        elif name not in ("html", "body"):
+            if top.article and name in _SECTIONS:
+                names = [x for x in names if x[0] != "id"]
+            if hit := _named_away(names, top.article):
+                own = _Cause("readers" if hit[0] in _READERS else "aside" if hit[0] in _ASIDES else "name" if hit[1] else "part", "")
+        stack.append(_Open(name, path, (*causes, own) if own else causes, top.article or inside, own))
         if m["attributes"].endswith("/") and name not in _BLOCK:
             stack.pop()
     say(page[done:])
     flush()
-    return blocks, tags
+    return _judged(blocks), tags
+
+
+def _judged(read: list[tuple[_Open, str]]) -> list[Block]:
+    """The blocks, away if a cause is left. An aside left open does not hold an article; a loose cause does not hold where it has most
+    of the text that no firm cause has; nor, where nothing remains, do forms and what was left open, nor whole names with much text."""
+    free = {c for o, _ in read for c in o.causes if c.around and c.left_open()}
+    for may, least in ((_Cause.loose, _MOST), (lambda c: c.tag == "form" or c.left_open(), 1), (lambda c: c.kind == "name" or c.loose(), _MOST)):
+        weights: Counter = Counter()
+        total = 0
+        for o, text in read:
+            if all(c in free or may(c) for c in o.causes):
+                total += len(text)
+                for c in o.causes:
+                    weights[c] += len(text)
+        free |= {c for c, n in weights.items() if n >= least and 2 * n > total}
+        blocks = [Block(o.path, any(c not in free for c in o.causes), o.article, text) for o, text in read]
+        if not all(b.away for b in blocks):
+            break
+    return blocks
 
 
 def _digest(*parts: str) -> int:

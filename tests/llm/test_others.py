@@ -258,3 +258,30 @@ def test_equivalence_classes(spark):
 def test_only_raw_elements_swallow(before):
     assert [b.text for b in op9.read_page(f"{before}<article><p>a <math><mi>x</mi><annotation>tex</annotation></math></p><object><p>fallback</p></object><p>b</article><svg></svg>")[0] if not b.away] == ["a x", "fallback", "b"]
     assert [b.text for b in op9.read_page("<p>a<svg><title>s</title><text>t</text></svg>b<select><option>o</select><script>s</script>c")[0] if not b.away] == ["a", "b", "c"]
+
+
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><p>a</body></html>", ["a"]),
+        ("<head><meta charset=x><p>a", ["a"]),
+        ('<div class="layout has-sidebar"><div><p>a</div></div>', ["a"]),
+        ('<div id="no-sidebar"><article>a</article></div>', ["a"]),
+        ('<div class="page social"><p>a</div>', ["a"]),
+        ('<div class="share-post"><article><p>a</article>b</div>', ["a"]),
+        (f'<div class="wide-search"><p>{LONG}</div><div class="cookie-notice">We use</div>', [LONG.strip()]),
+        ("<form><nav>menu</nav><main><p>a</main></form>", ["a"]),
+        ("<form><div><p>a</div><button>go</button></form>", ["a"]),
+        ("<nav>menu<article>a</article>", ["a"]),
+        ("<div><aside>side<article>a</article></div>", ["a"]),
+        ("<div><aside>side<article>teaser</article></aside></div><main>a</main>", ["a"]),
+        ("<main>a</main><form>f", ["a"]),
+        ('<article>a<section id="discussion"><h2 id="notice">b</h2><p>c</section><div class="comments"><article>no</article></div></article>', ["a", "b", "c"]),
+        ('<div class="related-posts"><article>no</article></div><article>a</article>', ["a"]),
+    ],
+)
+def test_wrappers_do_not_take_the_article(page, want):
+    assert [b.text for b in op9.read_page(page)[0] if not b.away] == want
