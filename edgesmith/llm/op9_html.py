@@ -6,17 +6,20 @@ the same occurrence vector (how often each occurs on every page) form an equival
 compared by a checksum that adds up page by page, so hosts of any size are summed in partial aggregates
 and no task holds a host.
 
-A class is valid for the template if it has at least ``support`` pages; classes nest as their paths do: the root class holds the
+A class is valid for the template if it has at least ``support`` pages and ``TOKENS`` tokens; classes nest as their paths do: the root class holds the
 tokens that stand once on every page, and a class whose paths extend those of another stands in one of its
-slots. What the template keeps for itself is not the article:
+slots. A slot outside articles is a path and a place among the texts of that path; it is fixed if its words are in its own
+class (the same words whenever the slot is there), else it varies. What the template keeps for itself is not the article:
 
 * a slot whose path has a tag for menus, headers, footers, sidebars, forms, scripts or styles, or a class or
   id naming adverts, notices, comments and the like (whole, or in its first or last part), unless that holds most of
   the page's text and is a form, was left open or is only part of a name;
-* a slot outside the article whose words are in the root class, the same words once on every page.
+* a fixed slot outside the article, and words outside it that are in the root class, the same once on every page.
 
-If the page has slots inside an ``article`` or ``main`` tag, they remain; otherwise all others do. Text inside the article is never dropped for being common: copied
-articles and common lines stay. Below ``support`` pages a host has no classes and the path rules alone decide.
+If the page has text inside an ``article`` or ``main`` tag, that remains, and of
+the rest the text at paths that have varying slots; all of the rest if it is longer than the text inside. Without such a
+tag all slots remain that are not the template's. Text inside the article is never dropped for being common: copied
+articles and common lines stay. A page all of whose slots are fixed (copies of one page) keeps them. Below ``support`` pages a host has no classes and the path rules alone decide.
 
 References are decoded, white space in a block becomes one space, blocks are joined in page order by one space.
 
@@ -46,6 +49,8 @@ from .common import materialise, table
 from .op8_url_filters import host_of
 
 SUPPORT = 3
+#: Least tokens of a valid class.
+TOKENS = 2
 
 _RAW = "script|style|noscript|textarea|iframe|title"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:(?<=[\s\"']/>)|.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
@@ -257,41 +262,81 @@ def _digest(*parts: str) -> int:
 
 
 _TOKENS = T.StructType([T.StructField("host", T.StringType()), T.StructField("token", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("mark", T.LongType())])
-TAG, WORDS, ARTICLE = 0, 1, 2
+#: With ``slot``: of words, the slot they fill; of a slot, its path.
+_SLOTTED = T.StructType([*_TOKENS.fields, T.StructField("slot", T.LongType())])
+TAG, WORDS, ARTICLE, SLOT = 0, 1, 2, 3
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, token, kind, n (times on the page) and mark (of the page and n) from (host, page, html) rows."""
+    """host, token, kind, n (times on the page), mark (of the page and n) and slot from (host, page, html) rows.
+    A slot is a path and the place of the text among the page's texts of that path."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 blocks, tags = read_page(html or "")
-                found = [(_digest("tag", p), ARTICLE if re.search(r"/(?:article|main)(?:\.[^/]*)?$", p) else TAG, n) for p, n in tags.items()]
-                found += [(_digest("words", p, t), WORDS, n) for (p, t), n in Counter((b.path, b.text) for b in blocks if not b.away and not b.article).items()]
-                for token, kind, n in found:
-                    for c, v in zip(out, (host, token, kind, n, _digest("at", str(page), str(n))), strict=True):
+                found = [(_digest("tag", p), ARTICLE if re.search(r"/(?:article|main)(?:\.[^/]*)?$", p) else TAG, n, None) for p, n in tags.items()]
+                places, words, first = Counter(), Counter(), {}
+                for b in blocks:
+                    if not b.away and not b.article:
+                        slot = _digest("slot", b.path, str(places[b.path]))
+                        places[b.path] += 1
+                        words[b.path, b.text] += 1
+                        first.setdefault((b.path, b.text), slot)
+                        found.append((slot, SLOT, 1, _digest("path", b.path)))
+                found += [(_digest("words", *w), WORDS, n, first[w]) for w, n in words.items()]
+                for token, kind, n, slot in found:
+                    for c, v in zip(out, (host, token, kind, n, _digest("at", str(page), str(n)), slot), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], _TOKENS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], _SLOTTED.names)
 
-    return pages.select("host", "page", "html").mapInArrow(read, _TOKENS)
+    return pages.select("host", "page", "html").mapInArrow(read, _SLOTTED)
+
+
+def _classes(tokens: DataFrame, support: int) -> DataFrame:
+    """host, n_pages, n_total, vector (checksum), class_size and members: a row a class on ``support`` pages. A
+    member is on every page of its class, so a row is at most one page's tokens."""
+    slot = F.col("slot") if "slot" in tokens.columns else F.lit(None).cast("long")
+    vectors = tokens.groupBy("host", "token", "kind").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_total"), F.bit_xor("mark").alias("vector"), F.min(slot).alias("slot"), F.max(slot).alias("last"))
+    vectors = vectors.where(F.col("n_pages") >= support)
+    member = F.struct("token", "kind", F.when(F.col("slot") == F.col("last"), F.col("slot")).alias("slot"))  # words that move fill no slot
+    return vectors.groupBy("host", "n_pages", "n_total", "vector").agg(F.count(F.lit(1)).alias("class_size"), F.collect_list(member).alias("members"))
 
 
 def equivalence_classes(tokens: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """host, token, kind, vector (checksum), n_pages, n_total and class_size for tokens in valid classes."""
-    vectors = tokens.groupBy("host", "token", "kind").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_total"), F.bit_xor("mark").alias("vector")).where(F.col("n_pages") >= support)
-    sizes = vectors.groupBy("host", "n_pages", "n_total", "vector").agg(F.count(F.lit(1)).alias("class_size"))
-    return vectors.join(sizes, ["host", "n_pages", "n_total", "vector"]).select("host", "token", "kind", "vector", "n_pages", "n_total", "class_size")
+    """host, token, kind, slot, vector, n_pages, n_total and class_size for tokens in valid classes."""
+    valid = _classes(tokens, support).where(F.col("class_size") >= TOKENS)
+    return valid.select("host", F.inline("members"), "vector", "n_pages", "n_total", "class_size")
 
 
 def templates(tokens: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """host, in_article and fixed, one row a host: whether the root class holds an article tag, and the root
-    class's words outside articles. The root class is at most one page's tokens, so a row is bounded."""
-    classes = equivalence_classes(tokens, support)
-    pages = classes.groupBy("host").agg(F.max("n_pages").alias("host_pages"))  # some tag is on every page
-    root = classes.join(pages, "host").where((F.col("n_pages") == F.col("host_pages")) & (F.col("n_total") == F.col("n_pages")))
-    return root.groupBy("host").agg(F.max(F.col("kind") == ARTICLE).alias("in_article"), F.collect_set(F.when(F.col("kind") == WORDS, F.col("token"))).alias("fixed"))
+    """host, fixed and varying, one row a host. ``fixed``: words outside articles in a valid class with the slot that
+    they fill, and the root class's. ``varying``: paths of slots whose words vary, for hosts with article tags. A row
+    is bounded by the host's distinct slots and one page's words."""
+    members = lambda kind: F.filter("members", lambda x: x["kind"] == kind)
+    slots, words = F.col("slots"), F.col("words")
+    c = _classes(tokens, support).select("host", "n_pages", "n_total", "class_size", F.size(members(ARTICLE)).alias("articles"), members(SLOT).alias("slots"), members(WORDS).alias("words"))
+    held = F.when(F.col("class_size") >= TOKENS, F.filter(words, lambda w: F.exists(slots, lambda x: x["token"] == w["slot"]))).otherwise(F.filter(words, lambda w: F.lit(False)))
+    c = c.withColumn("held", held)
+    c = c.withColumn("varying", F.array_distinct(F.transform(F.filter(slots, lambda x: ~F.exists("held", lambda w: w["slot"] == x["token"])), lambda x: x["slot"])))
+    pages = c.groupBy("host").agg(F.max("n_pages").alias("host_pages"), F.max(F.col("articles") > 0).alias("in_article"))  # some tag is on every page
+    told = c.where((F.size("words") > 0) | (F.size("varying") > 0)).join(pages, "host")
+    root = (F.col("n_pages") == F.col("host_pages")) & (F.col("n_total") == F.col("n_pages"))
+    told = told.select("host", F.transform(F.when(root, words).otherwise(F.col("held")), lambda w: w["token"]).alias("fixed"), F.when(F.col("in_article"), F.col("varying")).alias("varying"))
+    # one by one, so that partial sums hold each path once
+    told = told.select("host", F.explode(F.concat(F.transform("fixed", lambda x: F.struct(x.alias("fixed"), F.lit(None).cast("long").alias("varying"))), F.transform(F.coalesce("varying", F.array().cast("array<long>")), lambda x: F.struct(F.lit(None).cast("long").alias("fixed"), x.alias("varying"))))).alias("x"))
+    return told.groupBy("host").agg(F.collect_set("x.fixed").alias("fixed"), F.collect_set("x.varying").alias("varying"))
+
+
+def chosen(blocks: list[Block], fixed: set[int], varying: set[int]) -> list[Block]:
+    """The blocks that are text, of those not away."""
+    rest = [b for b in blocks if not b.article and (not fixed or _digest("words", b.path, b.text) not in fixed)]
+    inside = sum(len(b.text) for b in blocks if b.article)
+    if inside and sum(len(b.text) for b in rest) <= inside:
+        rest = [b for b in rest if _digest("path", b.path) in varying] if varying else []
+    kept = set(map(id, rest))
+    return [b for b in blocks if b.article or id(b) in kept] or blocks
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", support: int = SUPPORT) -> DataFrame:
@@ -304,14 +349,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, fixed in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+            for html, fixed, varying in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 blocks = [b for b in read_page(html or "")[0] if not b.away]
-                blocks = [b for b in blocks if b.article] or blocks
-                drop = set(fixed or ())
-                texts.append(" ".join(b.text for b in blocks if b.article or not drop or _digest("words", b.path, b.text) not in drop))
+                texts.append(" ".join(b.text for b in chosen(blocks, set(fixed or ()), set(varying or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    joined = p.join(deduced, "host", "left").select("row", "html", "fixed")
+    joined = p.join(deduced, "host", "left").select("row", "html", "fixed", "varying")
     return joined.mapInArrow(cut, T.StructType([joined.schema["row"], T.StructField("text", T.StringType())]))
 
 

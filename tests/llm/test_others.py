@@ -285,3 +285,17 @@ LONG = "word " * 60
 )
 def test_wrappers_do_not_take_the_article(page, want):
     assert [b.text for b in op9.read_page(page)[0] if not b.away] == want
+
+
+def _texts(spark, rows):
+    return {r.row.page_id: r.text for r in op9.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_a_class_on_some_pages_is_template(spark):
+    """A fixed slot of some pages goes with its class; copies of a story, and pages that are all template, stay."""
+    page = "<html><body><div>Welcome</div>{}<div class=story><p>{}</p><p>end {}</p></div></body></html>"
+    rows = [(i, f"http://h.org/{i}", page.format("<div class=box><h3>Read on</h3></div>" if i % 2 else "", "copied" if i < 3 else f"story {i}", i)) for i in range(8)]
+    rows += [(20 + i, f"http://c.org/{i}", "<body><p>one page</p></body>") for i in range(3)]
+    got = _texts(spark, rows)
+    assert [got[i] for i in range(8)] == [f"{'copied' if i < 3 else f'story {i}'} end {i}" for i in range(8)]
+    assert [got[20 + i] for i in range(3)] == ["one page"] * 3
