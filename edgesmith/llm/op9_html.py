@@ -16,7 +16,7 @@ class (the same words whenever the slot is there), else it varies. What the temp
   the page's text and is a form, was left open or is only part of a name;
 * a fixed slot outside the article, and words outside it that are in the root class, the same once on every page.
 
-If the page has text inside an ``article`` or ``main`` tag, that remains, and of
+If the page has text inside an ``article`` or ``main`` tag that is not a comment or a teaser by its class, that remains, and of
 the rest the text at paths that have varying slots; all of the rest if it is longer than the text inside. Without such a
 tag all slots remain that are not the template's. Text inside the article is never dropped for being common: copied
 articles and common lines stay. A page all of whose slots are fixed (copies of one page) keeps them. Below ``support`` pages a host has no classes and the path rules alone decide.
@@ -68,6 +68,8 @@ _AWAY_NAMES = _READERS | _ASIDES | frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars contentinfo "
     "cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter subscribe subscription signup login search form forms share sharing social widget widgets toolbar skip paywall".split()
 )
+#: Classes of article elements that are not the page's article.
+_TEASERS = frozenset("teaser teasers related recommended promo promos promotion sponsored sponsor advert advertisement ad ads reply".split())
 #: First and last parts of class names that say what a page has or is filed under, and classes of whole pages.
 _HAS = frozenset("has no with without is not hide show js tag category cat term topic status type format".split())
 _STATE = frozenset("open closed enabled disabled on off active visible hidden layout page template".split())
@@ -115,7 +117,7 @@ class _Open(NamedTuple):
         return bool(self.causes)
 
 
-def _named_away(names: list[tuple[str, str]], article: bool) -> tuple[str, bool] | None:
+def _named_away(names: list[tuple[str, str]], article: bool, away: frozenset[str] = _AWAY_NAMES) -> tuple[str, bool] | None:
     """The class, id or role that tells an element from the article, and whether it is that name as a whole. Of a
     name in parts the first and the last count; for readers' comments, all."""
     found = None
@@ -128,7 +130,7 @@ def _named_away(names: list[tuple[str, str]], article: bool) -> tuple[str, bool]
             parts = [x for x in parts if x not in ("header", "masthead")]
         if hit := next((x for x in parts if x in _READERS), None):
             return hit, True
-        if parts and not whole & _PAGES and (hit := next((x for x in (parts[0], parts[-1]) if x in _AWAY_NAMES), None)):
+        if parts and not whole & _PAGES and (hit := next((x for x in (parts[0], parts[-1]) if x in away), None)):
             if found is None or hit in _ASIDES:
                 found = hit, len(parts) == 1 or hit in _ASIDES
     return found
@@ -223,6 +225,8 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
         if inside:
             # an article of the readers' comments is away with them, one in an aside unless that was left open; else it stands for itself
             causes = causes if any(c.kind == "readers" for c in causes) else tuple(_Cause("aside", c.tag, c.around or c) for c in causes if c.kind == "aside")
+            if name == "article" and (hit := _named_away(names, False, _TEASERS)):
+                own = _Cause("readers" if hit[0] in _READERS else "name", "")
         elif name in _AWAY and not (name == "header" and top.article):
             own = _Cause("aside" if name in ("aside", "footer") else "tag", name)
         elif name not in ("html", "body"):

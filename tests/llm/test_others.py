@@ -291,6 +291,17 @@ def _texts(spark, rows):
     return {r.row.page_id: r.text for r in op9.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_article_elements_are_judged_and_slots_decide_outside(spark):
+    solo = lambda i, html: (i, f"http://s{i}.org/", html)
+    story = "<div class=post-content><p>the story itself</p></div>"
+    rows = [solo(0, story + "<article class=comment>me</article>"), solo(1, story + "<article class='card teaser'>next</article>"), solo(2, story + "<article>next</article>"), solo(3, "<div>by</div><article class='post tag-comments'>an article</article>")]
+    rows += [(10 + i, f"http://h.org/{i}", f"<div>Fixed</div><div class=lead>lead {i}</div><article>article text {i}</article>") for i in range(4)]
+    got = _texts(spark, rows)
+    assert (got[0], got[1], got[3]) == ("the story itself", "the story itself", "an article")
+    assert got[2] == "the story itself next"
+    assert [got[10 + i] for i in range(4)] == [f"lead {i} article text {i}" for i in range(4)]
+
+
 def test_a_class_on_some_pages_is_template(spark):
     """A fixed slot of some pages goes with its class; copies of a story, and pages that are all template, stay."""
     page = "<html><body><div>Welcome</div>{}<div class=story><p>{}</p><p>end {}</p></div></body></html>"
