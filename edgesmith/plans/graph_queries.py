@@ -222,6 +222,33 @@ def _layers_sql(depth: int) -> str:
     return sql
 
 
+# the selectors with their own defaults and stopping rules, which SQL of a fixed length cannot say
+
+
+@query()
+def walk_candidates_full(spark, sf):
+    g = V.part_graph(spark, sf)
+    return walkrank.TruncatedPageRank(g, g.size()[1]).run()
+
+
+@query()
+def ppr_topk_full(spark, sf):
+    g = V.part_graph(spark, sf)
+    return walkrank.pagerank(g, g.all_nodes(), 10)
+
+
+@query()
+def restart_visits_full(spark, sf):
+    g = V.part_graph(spark, sf)
+    return walkrank.restart_walks(g, g.all_nodes())
+
+
+@query()
+def restart_topk_full(spark, sf):
+    g = V.part_graph(spark, sf)
+    return walkrank.walk_candidates(g, walkrank.restart_walks(g, g.all_nodes()), 3)
+
+
 @query(f"{_layers_sql(2)} SELECT * FROM s2")
 def khop_layers(spark, sf):
     g = V.part_graph(spark, sf)

@@ -141,6 +141,30 @@ def knn_descent(spark, sf):
     return knn.descent(V.vectors(spark, sf), 5, 3, fixed=True)
 
 
+# the selectors with their own defaults and stopping rules, which SQL of a fixed length cannot say
+
+
+@query()
+def knn_simple_full(spark, sf):
+    return knn.simple(V.vectors(spark, sf), 5)
+
+
+@query()
+def knn_descent_full(spark, sf):
+    return knn.descent(V.vectors(spark, sf), 5)
+
+
+@query()
+def hash_codes_full(spark, sf):
+    return lsh.codes(V.vectors(spark, sf))
+
+
+@query()
+def hash_pairs_full(spark, sf):
+    e = V.vectors(spark, sf)
+    return lsh.pairs(e, lsh.codes(e), 1000)
+
+
 EVERY = f"WITH {VE}, ex AS (SELECT a.id AS u, b.id AS v, {DOT.format(a='a.vec', b='b.vec')} AS score, a.label = b.label AS same FROM ve a JOIN ve b ON a.id < b.id)"
 
 

@@ -131,3 +131,43 @@ def test_ranking_metrics(spark):
     m = metrics.ranking_metrics(ranked, spark.createDataFrame([(1, 11), (1, 13)], "user long, item long"), 3).first()
     assert m.recall == 0.5 and m.rr == 0.5 and m.ap == 0.25
     assert m.ndcg == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
+
+
+def _brute(g, iterations):
+    """Untruncated personalised PageRank of every source by dense sums."""
+    near = {}
+    for r in g.adj.collect():
+        near.setdefault(r.src, []).append(r.dst)
+    out = {}
+    for q in near:
+        p = {q: 1.0}
+        for _ in range(iterations):
+            new = {q: 0.2}
+            for x, mass in p.items():
+                for y in near[x]:
+                    new[y] = new.get(y, 0) + 0.8 * mass / len(near[x])
+            p = new
+        out |= {(q, v): x for v, x in p.items() if v != q and v not in near[q]}
+    return out
+
+
+def test_full_selectors_are_registered_with_defaults_and_no_sql():
+    from edgesmith.plans import catalogue
+
+    for name in "walk_candidates ppr_topk restart_visits restart_topk knn_simple knn_descent hash_codes hash_pairs".split():
+        assert f"{name}_full" in catalogue.QUERIES and f"{name}_full" not in catalogue.SQL
+
+
+def test_walks_by_default_settle_as_brute_force_has_it(spark, monkeypatch):
+    from edgesmith.plans import graph_queries as Q
+
+    path = G.Graph(spark.createDataFrame([(i, i + 1) for i in range(1, 8)] + [(2, 5)], "u long, v long"))
+    monkeypatch.setattr(Q.V, "part_graph", lambda spark, sf: path)
+    got, want = {(r.q, r.v): r.p for r in Q.ppr_topk_full(spark, "").collect()}, _brute(path, 20)
+    assert got == {k: pytest.approx(x, abs=1e-8) for k, x in want.items()}
+    short = {(r.q, r.v): r.p for r in Q.ppr_topk(spark, "").collect()}
+    assert short == {k: pytest.approx(x, abs=1e-8) for k, x in _brute(path, 3).items()} and len(short) < len(got)
+    w = walkrank.TruncatedPageRank(path, 8)
+    w.state()
+    assert len(w.ratios) >= 3 and (w.ratios[-1] < w.epsilon or len(w.ratios) == w.max_iterations)
+    assert {tuple(r) for r in Q.walk_candidates_full(spark, "").collect()} == {tuple(r) for r in w.candidates(w.state(len(w.ratios))).collect()}
