@@ -2,8 +2,8 @@
 
 Dated entries (list, pattern, day, action) become validity intervals: an ``add`` holds from its day to
 the day before the next entry for the same list and pattern; where a pattern has both actions on one
-day, the removal counts. A capture looks up its host, each parent domain, and each of these with the
-first part of its path, and is judged by the entries active on the day it was fetched (an as-of join:
+day, the removal counts. A capture looks up its host, each parent domain, each of these with every
+prefix of its path by parts and with its whole path and query, and its url, and is judged by the entries active on the day it was fetched (an as-of join:
 equality on the key, and the interval around the day; at most one entry a list and pattern).
 
 Each distinct (url, day) is judged once and the verdict joined back, so repeated captures of one page
@@ -36,13 +36,18 @@ def host_of(url: Column) -> Column:
 
 
 def lookup_keys(url: Column) -> Column:
-    """Host, parent domains, and each with the first path part; none without a host."""
-    host = host_of(url)
+    """Host, parent domains, each with every prefix of the path by parts, and with path and query whole, and the
+    url itself; none without a host."""
+    host, text = host_of(url), F.lower(F.coalesce(url, F.lit("")))
     parts = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
-    first = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1))
-    paths = F.when(first == "", F.array().cast("array<string>")).otherwise(F.transform(domains, lambda d: F.concat(d, F.lit("/"), first)))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths)))
+    path = F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
+    steps = F.split(path, "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    whole = F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^#]*)", 1)
+    tails = F.filter(F.array_distinct(F.concat(prefixes, F.array(whole))), lambda t: t != "")
+    paths = F.flatten(F.transform(domains, lambda d: F.transform(tails, lambda t: F.concat(d, F.lit("/"), t))))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths, F.array(text))))
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:

@@ -310,3 +310,11 @@ def test_a_class_on_some_pages_is_template(spark):
     got = _texts(spark, rows)
     assert [got[i] for i in range(8)] == [f"{'copied' if i < 3 else f'story {i}'} end {i}" for i in range(8)]
     assert [got[20 + i] for i in range(3)] == ["one page"] * 3
+
+
+def test_deeper_patterns_and_whole_urls_match(spark):
+    captures = spark.createDataFrame([("http://x.bad.com/A/b/c?q=1#f", "2024-01-05"), ("http://x.bad.com/a/bb", "2024-01-05"), ("https://x.bad.com/", "2024-01-05")], "url string, fetched string")
+    patterns = ["bad.com/a/b", "x.bad.com/a/b/c", "x.bad.com/a/b/c?q=1", "http://x.bad.com/a/bb", "bad.com/b"]
+    entries = spark.createDataFrame([("l", p, "2024-01-01", "add") for p in patterns], "list string, pattern string, day string, action string").withColumn("day", F.col("day").cast("date"))
+    got = {r.row.url: (r.n_active, r.pattern) for r in op8.judge(captures, entries).collect()}
+    assert got == {"http://x.bad.com/A/b/c?q=1#f": (3, "x.bad.com/a/b/c?q=1"), "http://x.bad.com/a/bb": (1, "http://x.bad.com/a/bb"), "https://x.bad.com/": (0, None)}
