@@ -20,10 +20,6 @@ def half_even(x: Column) -> Column:
     return F.rint(x).cast("long")
 
 
-def rounded(x: Column, digits: int = 9) -> Column:
-    return F.round(x, digits)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -42,10 +42,10 @@ class Graph:
         return self.nodes if self.nodes is not None else self.adj.select(F.col("src").alias("node")).distinct()
 
     def totals(self) -> DataFrame:
-        """n, m and edges_per_node (edges over nodes)."""
+        """n, m and edges_per_node (edges over nodes; 0 without nodes)."""
         n = self.all_nodes().agg(F.count(F.lit(1)).alias("n"))
         m = self.edges.agg(F.count(F.lit(1)).alias("m"))
-        return n.join(F.broadcast(m)).select("n", "m", (F.col("m") / F.col("n")).alias("edges_per_node"))
+        return n.join(F.broadcast(m)).select("n", "m", F.coalesce(F.try_divide(F.col("m"), F.col("n")), F.lit(0.0)).alias("edges_per_node"))
 
     def size(self) -> tuple[int, int]:
         row = self.totals().first()
@@ -95,10 +95,5 @@ def filter_edges(graph: Graph, rho: float = 0.75) -> DataFrame:
     return e.select("u", "v", F.least("du", "dv").alias("least_deg")).orderBy(F.desc("least_deg"), "u", "v").limit(int(m * rho))
 
 
-def top(df: DataFrame, n: int, *order) -> DataFrame:
-    """Global top n: each task keeps n rows, so the last task reads n a task, never the whole input."""
-    return df.orderBy(*order).limit(n)
-
-
 def ranked(df: DataFrame, by: list[str], *order, name: str = "rk") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

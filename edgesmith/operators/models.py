@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgesmith.functions.lineage import cut
+from edgesmith.functions.lineage import cut, row_numbers
 from edgesmith.functions.portable import digest, hadamard
 from edgesmith.operators.graph import Graph, degrees
 from edgesmith.operators.metrics import hard_average_precision
@@ -114,7 +114,7 @@ def factor_embedding(graph: Graph, dim: int = 16, window: int = 2, negative: int
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     deg = graph.degree
-    ids = cut(deg.select("node", "deg", (F.row_number().over(_by_node()) - 1).alias("pos")))
+    ids = cut(row_numbers(deg, "node").select("node", "deg", (F.col("rn") - 1).alias("pos")))
     n, volume = ids.count(), ids.agg(F.sum("deg")).first()[0]
     adj = graph.adj.join(ids.select(F.col("node").alias("src"), F.col("pos").alias("i"), "deg"), "src").join(ids.select(F.col("node").alias("dst"), F.col("pos").alias("j")), "dst").select("i", "j", (1 / F.col("deg")).alias("x"))
     adj = cut(adj)
@@ -132,12 +132,6 @@ def factor_embedding(graph: Graph, dim: int = 16, window: int = 2, negative: int
     return made.join(ids, "pos").select(F.col("node").alias("id"), "vec")
 
 
-def _by_node():
-    from pyspark.sql import Window
-
-    return Window.orderBy("node")
-
-
 def factor_pairs(factors: DataFrame, epsilon: float, edges: DataFrame | None = None) -> DataFrame:
     """(u, v, score) from (node, c, f): sum over components of f_u f_v, of terms of at least epsilon over the
     number of components; a node's factor below the root of that can't be part of any and is left out only
@@ -218,8 +212,9 @@ def hits(graph: Graph, rounds: int = 10) -> DataFrame:
 
 
 def degree_centrality(graph: Graph) -> DataFrame:
+    """(node, authority): degree over n - 1."""
     n = graph.size()[0]
-    return graph.degree.select("node", (F.col("deg") / (n - 1)).alias("authority"))
+    return graph.degree.select("node", (F.col("deg") / max(n - 1, 1)).alias("authority"))
 
 
 def side_scaled(authority: DataFrame) -> DataFrame:
@@ -271,13 +266,11 @@ def skipgram_embedding(graph: Graph, walks: DataFrame, dim: int = 16, epochs: in
     sums, no parameter server. The loss is one number an epoch; the rate grows by 5 % while it falls and shrinks by
     5 % otherwise.
     """
-    from pyspark.sql import Window
-
     near = walks.select(F.col("at").alias("a"), "node", "walk", "pos").join(walks.select(F.col("at").alias("b"), "node", "walk", F.col("pos").alias("other")), ["node", "walk"])
     pairs = near.where((F.abs(F.col("pos") - F.col("other")) <= reach) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
     pairs = pairs.unionByName(graph.edges.select(F.col("u").alias("a"), F.col("v").alias("b"), (F.lit(1.0) * gamma * 10).alias("w")))
     positive = pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).withColumn("y", F.lit(1.0))
-    ids = cut(graph.all_nodes().select("node", F.row_number().over(Window.orderBy("node")).alias("pos")))
+    ids = cut(row_numbers(graph.all_nodes().select("node"), "node").withColumnRenamed("rn", "pos"))
     n = ids.count()
     draw = F.pmod(F.conv(F.substring(digest(seed, "a", "b", F.lit("n")), 1, 7), 16, 10).cast("long"), F.lit(n)) + 1
     negative = positive.select("a", draw.alias("pos"), "w").join(ids, "pos").where("a <> node").select("a", F.col("node").alias("b"), "w", F.lit(0.0).alias("y"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgesmith.functions.lineage import row_numbers
 from edgesmith.functions.portable import digest
 from edgesmith.operators.graph import non_edges
 
@@ -23,28 +24,16 @@ def _parts(df: DataFrame, m: int, fractions: tuple[float, float, float]) -> Data
     return df.withColumn("part", part)
 
 
-def _row_numbers(df: DataFrame, *order) -> DataFrame:
-    """rn over the whole table without one task that sorts it: a range sort deals out parts, and the
-    parts' counts give each its start."""
-    from edgesmith.functions.lineage import cut
-
-    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_start"))
-    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return inside.join(F.broadcast(starts), "_part").withColumn("rn", F.col("_start") + F.col("_i")).drop("_part", "_n", "_start", "_i")
-
-
 def static_split(edges: DataFrame, fractions: tuple[float, float, float] = FRACTIONS, seed: int = 42) -> DataFrame:
     """(u, v, part): edges in shuffled order, cut at half-even rounded sizes."""
     e = edges.select("u", "v", digest(seed, "u", "v").alias("key"))
-    return _parts(_row_numbers(e, "key", "u", "v"), e.count(), fractions).select("u", "v", "part")
+    return _parts(row_numbers(e, "key", "u", "v"), e.count(), fractions).select("u", "v", "part")
 
 
 def temporal_split(edges: DataFrame, fractions: tuple[float, float, float] = FRACTIONS, ts: str = "ts") -> DataFrame:
     """(u, v, part): the latest edges are the test."""
     e = edges.select("u", "v", ts)
-    return _parts(_row_numbers(e, ts, "u", "v"), e.count(), fractions).select("u", "v", "part")
+    return _parts(row_numbers(e, ts, "u", "v"), e.count(), fractions).select("u", "v", "part")
 
 
 def file_order_split(rows: DataFrame, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
@@ -72,7 +61,7 @@ def negatives(edges: DataFrame, n: int, count: int, seed: int = 42, spare: float
     spark = edges.sparkSession
     pick = lambda side: F.pmod(F.conv(F.substring(digest(seed, "id", F.lit(side)), 1, 7), 16, 10).cast("long"), F.lit(n)) + 1
     draws = spark.range(int(count * spare)).select("id", pick(0).alias("a"), pick(1).alias("b")).where("a <> b")
-    nodes = _row_numbers(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node")
+    nodes = row_numbers(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node")
     named = draws.join(nodes.select(F.col("rn").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("rn").alias("b"), F.col("node").alias("y")), "b")
     pairs = named.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("id").alias("id"))
     return non_edges(pairs, edges).orderBy("id").limit(count).select("u", "v")

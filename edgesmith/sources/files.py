@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgesmith.functions.lineage import row_numbers
 from edgesmith.operators.graph import canonical
 
 STATISTICS = "recall DOUBLE, precision DOUBLE, scan_rate DOUBLE, scans_per_found_edge DOUBLE, num_found_edges LONG, num_predicted_edges LONG, num_scanned_w_LP LONG, time DOUBLE"
@@ -44,11 +45,9 @@ def is_temporal(spark: SparkSession, source: str | DataFrame) -> bool | None:
 
 def temporal_edges(spark: SparkSession, source: str | DataFrame, separator: str = r"\s+", comment: str = "#", time: int = 2) -> DataFrame:
     """(rn, u, v, ts) with repeats, numbered by (ts, u, v): input of the file-order split."""
-    from edgesmith.operators.splits import _row_numbers
-
     f = _fields(_lines(spark, source, comment), separator).where(F.size("f") > time)
     rows = f.select(F.col("f")[0].alias("u"), F.col("f")[1].alias("v"), F.col("f")[time].cast("long").alias("ts")).where("u <> v")
-    return _row_numbers(rows, "ts", "u", "v").select("rn", "u", "v", "ts")
+    return row_numbers(rows, "ts", "u", "v").select("rn", "u", "v", "ts")
 
 
 def quote_edges(spark: SparkSession, source: str | DataFrame) -> DataFrame:
@@ -114,9 +113,7 @@ def runs(spark: SparkSession, source: str | DataFrame) -> DataFrame:
 
 def number_nodes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(u, v) with numbers from 0 in the order of the old ids, and the map (old_id, id)."""
-    from edgesmith.operators.splits import _row_numbers
-
-    names = _row_numbers(pairs.select(F.explode(F.array("u", "v")).alias("old_id")).distinct(), "old_id").select("old_id", (F.col("rn") - 1).alias("id"))
+    names = row_numbers(pairs.select(F.explode(F.array("u", "v")).alias("old_id")).distinct(), "old_id").select("old_id", (F.col("rn") - 1).alias("id"))
     a, b = (names.select(F.col("old_id").alias(c), F.col("id").alias(f"_{c}")) for c in ("u", "v"))
     return canonical(pairs.join(a, "u").join(b, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))), names
 
