@@ -8,27 +8,11 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: One random odd-ish 64-bit code per byte value.
-CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CHUNK = 1 << 19
-_powers = np.ones(1, U)
-_inverses = np.ones(1, U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * CHUNK)
-        a, b = np.full(size, _BASE, U), np.full(size, _INVERSE, U)
-        a[0] = b[0] = U(1)
-        _powers, _inverses = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    return _powers, _inverses
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,18 +68,58 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[s:e] for each span: equal bytes have equal hashes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(CODES[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each position the number that its next eight bytes make (zeros beyond the end); no copy is made."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+#: Keeps the low n bytes of eight.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], U)
+_SEED = U(0x8F1BBCDC5A827999)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64 = _SEED) -> np.ndarray:
+    """64-bit hash of data[s:e] for each span: equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time go through a mixing permutation together with the hash so far, so spans of one length
+    up to eight never collide and longer ones have no algebraic structure (a polynomial would) to collide by.
+    """
+    size = ends - starts
+    out = mix(size.astype(U) ^ seed)
+    if not len(out):
+        return out
+    words = eights(data)
+    live, at, left = None, starts, size
+    while True:
+        took = words[at].astype(U) & _LOW[np.minimum(left, 8)]
+        now = mix((out if live is None else out[live]) ^ took) + seed
+        if live is None:
+            out = now
+        else:
+            out[live] = now
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """span_hashes of all windows of ``width`` bytes, in order."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    words, out = eights(data), np.full(n, mix(np.array([width], U) ^ _SEED)[0])
+    for k in range(0, width, 8):
+        out = mix(out ^ (words[k : k + n] & _LOW[min(8, width - k)])) + _SEED
+    return out
 
 
 _COEFFICIENTS = mix(np.arange(1, 65, dtype=U)) | U(1)
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5, seed: np.uint64 = _SEED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's ``width``-word shingles (with repeats) and their offsets by text.
 
     A text with fewer words gives one hash of its whole sequence; one without words gives none.
@@ -103,7 +127,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tup
     """
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
-    words = span_hashes(data, starts, ends) if len(starts) else np.zeros(0, U)
+    words = span_hashes(data, starts, ends, seed) if len(starts) else np.zeros(0, U)
     counts = np.diff(first)
     out = np.zeros(max(0, len(words) - width + 1), U)
     for j in range(width):
@@ -125,12 +149,16 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tup
     return result, ofs
 
 
-def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
+#: For a second, independent family of hashes.
+OTHER = U(0x5A0F3C9B71D2E486)
+
+
+def shingle_sets(texts: pa.Array, width: int = 5, seed: np.uint64 = _SEED) -> Iterator[np.ndarray]:
     """For each text, in order, its distinct shingle hashes, ascending."""
     data, offsets = buffers(texts)
     for i, j in chunks(offsets):
         part = offsets[i : j + 1]
-        hashes, ofs = shingle_hashes(data[part[0] : part[-1]], part - part[0], width)
+        hashes, ofs = shingle_hashes(data[part[0] : part[-1]], part - part[0], width, seed)
         for a, b in zip(ofs[:-1], ofs[1:], strict=True):
             yield np.unique(hashes[a:b])
 

@@ -7,17 +7,25 @@ The result is each document's component over those links.
    share at least min(l(|x|), l(|y|)) of their first |x| - ceil(t|x|) + l(|x|) shingles, where l(n) is
    15 % of n, at least 1. Packs of documents ask buckets which of those shingles occur elsewhere; a
    document with too few is alone. No pair is lost: this is the prefix-filter bound, not a guess.
-2. Equal sets become one node. Among the nodes' shingles those that occur once drop out; the rest,
-   rarest first, give each node the shortest prefix that must meet a partner's. Nodes that share a
-   prefix shingle fall into one group (components of a star for each shingle, never all pairs).
-3. Each group is put under a signature tree: a leaf holds a few nodes, an inner node the OR of its
-   token bitmaps, its range of set sizes and its most colliding bits. Two tree nodes can hold partners
-   only if the bits they share, plus the fewer collisions, reach what their least sizes need. The dual
-   traversal descends into such pairs alone, and exact sets decide at the leaves. Pairs already in one
-   component are skipped, so a group of near copies costs about one test a member.
-4. A group too large for a task is dealt into tiles by hash, each with the same few hub nodes, which
-   tie tiles together. Then every pair of tiles that may still hold links between two components is
-   traversed in its own task: hot groups are split, whole, and exact.
+2. Equal sets become one node. Signature trees over groups of nodes find the links; a pair already in
+   one component is skipped, so a group of near copies costs about one test a member. A leaf of a tree
+   holds a few nodes, an inner node the OR of its token bitmaps, its range of set sizes and its most
+   colliding bits. Two tree nodes can hold partners only if the bits they share, plus the fewer
+   collisions, reach what their least sizes need. The dual traversal descends into such pairs alone,
+   and the sets decide at the leaves.
+3. First trees: nodes with the same smallest hash of their set, in two orders of the hashes. They join
+   nearly all near copies early and prove nothing about the rest. A group beyond a tile is dealt into
+   tiles, by other lots in each order, so that the second ties together what the first kept apart.
+4. Then, for every link that may be missing: among the nodes' shingles those that occur once drop out;
+   the rest, rarest first, give each node the shortest prefix that must meet a partner's. One tree for
+   each prefix shingle whose nodes are not all in one component by now; of shingles with the same nodes
+   one tree serves all. So chains of documents that share one passage each with the next never grow
+   into one group. A shingle with more nodes than a tile is dealt into blocks, and every pair of blocks
+   that may hold links between two components is traversed in its own task: split, whole, and exact.
+
+What exact rests on: shingles are compared by 64-bit hashes, equal sets by 128 bits of two independent
+families. Sets too small to link with a set that isn't equal to them (one and two shingles, at 75 %)
+are compared by the 128 bits alone.
 
 Defined results: texts with fewer words than a shingle have their whole word sequence as their one
 shingle; null and empty texts and those without words have the empty set, link with nothing and form
@@ -45,7 +53,7 @@ PACK_BYTES = 4 << 20
 LEAF = 16
 TILE_NODES = 1024
 TILE_TOKENS = 1 << 21
-HUBS = 8
+BANDS = 2
 U = np.uint64
 
 
@@ -58,10 +66,20 @@ def _spare(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, n * 15 // 100)
 
 
-def _set_key(hashes: np.ndarray) -> bytes:
-    a = kernels.mix(hashes).sum(dtype=U)
-    b = np.bitwise_xor.reduce(kernels.mix(hashes + U(0x632BE59BD9B4E019)))
-    return np.array([a, b], U).tobytes()
+def _set_keys(texts: pa.Array, width: int, first: list[np.ndarray]) -> list[bytes]:
+    """128 bits of each set: sums over its hashes in two independent families."""
+    other = kernels.shingle_sets(texts, width, kernels.OTHER)
+    return [np.array([kernels.mix(a).sum(dtype=U), kernels.mix(b).sum(dtype=U)], U).tobytes() for a, b in zip(first, other, strict=True)]
+
+
+def _band_keys(hashes: np.ndarray) -> list[int]:
+    """The smallest hash of a set in each of BANDS orders."""
+    return [int(kernels.mix(hashes ^ U(b)).min().astype(np.int64)) for b in range(BANDS)]
+
+
+def _links_apart(n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set of n can link with a set that is not equal to it: at best one with a single shingle more."""
+    return 100 * n >= percent * (n + 1)
 
 
 class Forest:
@@ -187,8 +205,11 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, parts: np.ndarray | N
     return traverse(one, two, forest, percent)
 
 
+_FOUND = "id long, text_hash long, n long, key binary, bands array<long>, tokens binary"
+
+
 def _partner_sets(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, pack_bytes: int) -> DataFrame:
-    """id, text_hash, n, key (of the set; null if the document is surely alone), tokens (once a pack and key)."""
+    """id, text_hash, n, key (of the set; null if the document is surely alone), bands and tokens (once a pack and key)."""
     total = text_bytes(docs, text_col)
     n_packs, codes = max(1, math.ceil(total / pack_bytes)), Digits(total, max(1, math.ceil(total / (2 * pack_bytes))))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -209,28 +230,26 @@ def _partner_sets(docs: DataFrame, id_col: str, text_col: str, percent: int, wid
 
     def answer(rows: pa.Table, hits: pa.Table) -> pa.Table:
         sets, known = sets_of(rows) if rows.num_rows else [], codes.told(hits)
-        keys = [_set_key(s) if len(s) else None for s in sets]
-        leads: dict[bytes, int] = {}
-        for i, k in enumerate(keys):
-            if k is not None:
-                leads.setdefault(k, i)
-        # digits in two different texts of this pack, copies of one set included
+        # digits in two texts of this pack, copies of one set included
         asked = [np.unique(ahead(s)) if len(s) else np.zeros(0, U) for s in sets]
         local = np.sort(np.concatenate([np.zeros(0, U), *asked]))
         known = np.union1d(known, local[1:][local[1:] == local[:-1]])
         met = np.isin(np.concatenate([np.zeros(0, U), *asked]), known)
         met = np.concatenate([[0], np.cumsum(met)])[np.concatenate([[0], np.cumsum([len(x) for x in asked], dtype=np.int64)])]
-        out_key, out_tokens = [], []
-        for i, s in enumerate(sets):
-            n = np.int64(len(s))
-            fit = n and int(met[i + 1] - met[i]) >= int(_spare(_least_partner(n, percent)))
-            out_key.append(keys[i] if fit else None)
-            out_tokens.append(s.astype("<u8").tobytes() if fit and leads[keys[i]] == i else None)
-        n = pa.array([len(s) for s in sets], pa.int64())
-        return pa.table([rows.column("id"), rows.column("text_hash"), n, pa.array(out_key, pa.binary()), pa.array(out_tokens, pa.binary())], ["id", "text_hash", "n", "key", "tokens"])
+        n = np.array([len(s) for s in sets], np.int64)
+        fit = np.flatnonzero((n > 0) & (np.diff(met) >= _spare(_least_partner(n, percent))))
+        keys = _set_keys(rows.column("text").take(pa.array(fit, pa.int64())), width, [sets[i] for i in fit]) if len(fit) else []
+        out_key, out_bands, out_tokens, lead = [None] * len(sets), [None] * len(sets), [None] * len(sets), set()
+        for i, k in zip(fit.tolist(), keys, strict=True):
+            out_key[i] = k
+            if k not in lead:
+                lead.add(k)
+                out_bands[i], out_tokens[i] = _band_keys(sets[i]), sets[i].astype("<u8").tobytes()
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        return pa.table([rows.column("id"), rows.column("text_hash"), *(pa.array(c, t) for c, t in zip((n, out_key, out_bands, out_tokens), kinds, strict=True))], ["id", "text_hash", "n", "key", "bands", "tokens"])
 
     hits = packs.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(lambda rows: codes.repeated(rows), MESSAGE)
-    return packs.cogroup(hits.groupBy("g")).applyInArrow(answer, "id long, text_hash long, n long, key binary, tokens binary")
+    return packs.cogroup(hits.groupBy("g")).applyInArrow(answer, _FOUND)
 
 
 def _postings(nodes: DataFrame, n_tokens: int, percent: int) -> DataFrame:
@@ -310,38 +329,58 @@ def _solver(percent: int):
     return solve
 
 
-def _links(nodes: DataFrame, percent: int, n_tokens: int, tile_nodes: int, tile_tokens: int, scratch: list[str]) -> DataFrame:
-    """Links between nodes (node, n, tokens) that connect every component; what it writes is named in ``scratch``."""
+def _tiles(c: str, s: str, tile_nodes: int, tile_tokens: int):
+    return F.greatest(F.ceil(F.col(c) / tile_nodes), F.ceil(F.col(s) / tile_tokens)).cast("long")
+
+
+def _early_links(nodes: DataFrame, percent: int, n_bins: int, tile_nodes: int, tile_tokens: int, scratch: list[str]) -> DataFrame:
+    """Links found by trees over nodes (node, n, bands, tokens) with a smallest hash in common."""
+    banded = lambda *columns: nodes.select("node", "n", *columns, F.posexplode("bands").alias("band", "tree"))
+    sizes = banded().groupBy("band", "tree").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).withColumn("tiles", _tiles("c", "s", tile_nodes, tile_tokens))
+    # written out: one row for each group beyond a tile, to be broadcast by its size or joined with the hot side split
+    hot = materialise(sizes.where("tiles > 1").select(F.col("band").alias("_band"), F.col("tree").alias("_tree"), "tiles"), scratch)
+    dealt = banded("tokens").join(hot, (F.col("band") == F.col("_band")) & (F.col("tree") == F.col("_tree")), "left")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node", "band"), F.coalesce("tiles", F.lit(1))))
+    dealt = dealt.select(F.xxhash64("band", "tree").alias("tree"), "tile", F.lit(-1).alias("part"), F.col("node").alias("label"), "node", "tokens")
+    bins = dealt.groupBy(F.pmod(F.xxhash64("tree", "tile", F.lit(4)), F.lit(n_bins)).alias("bin"))
+    return materialise(bins.applyInArrow(_solver(percent), _LINKS), scratch)
+
+
+def _late_links(nodes: DataFrame, labels: DataFrame, percent: int, n_tokens: int, n_bins: int, tile_nodes: int, tile_tokens: int, scratch: list[str]) -> DataFrame | None:
+    """All links that the components in ``labels`` still miss, or None if no prefix shingle spans two of them."""
     posts = materialise(_postings(nodes, n_tokens, percent), scratch)
-    centre = posts.groupBy("token").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = posts.join(centre, "token").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    grouped = components(stars, scratch)
-    sized = grouped.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    tiles = F.greatest(F.ceil(F.col("c") / tile_nodes), F.ceil(F.col("s") / tile_tokens)).cast("long")
-    sized = sized.select(F.col("label").alias("tree"), "c", tiles.alias("tiles"))
-    members = nodes.join(grouped.withColumnRenamed("label", "tree"), "node").join(sized, "tree")
-    members = materialise(members.select("tree", "c", "tiles", "node", "n", "tokens"), scratch)
-    n_bins = max(1, math.ceil(8 * n_tokens / (2 * PACK_BYTES)))
-    spread_out = F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles"))
-    hub = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("node", F.lit(6)), F.ceil(F.col("c") / HUBS).cast("long")) == 0)
-    every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    dealt = members.withColumn("tile", F.explode(F.when(hub, every).otherwise(F.array(spread_out)))).select("tree", "tile", F.lit(-1).alias("part"), F.col("node").alias("label"), "node", "tokens")
-    binned = lambda d: d.withColumn("bin", F.pmod(F.xxhash64("tree", "tile", F.lit(4)), F.lit(n_bins))).groupBy("bin")
-    links = materialise(binned(dealt).applyInArrow(_solver(percent), _LINKS), scratch)
+    parts = materialise(nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("part_of")), scratch)
+    span = posts.join(parts, "node").groupBy("token").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("part_of").alias("low"), F.max("part_of").alias("high"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2"),
+    )
+    lists = span.where("low <> high").groupBy("x1", "x2", "c", "s").agg(F.min("token").alias("tree"))
+    lists = materialise(lists.select("tree", _tiles("c", "s", tile_nodes, tile_tokens).alias("tiles")), scratch)
+    if lists.limit(1).count() == 0:
+        return None
+    members = posts.join(lists, posts["token"] == lists["tree"]).select("tree", "tiles", "node")
+    members = materialise(members.join(parts, "node").join(nodes.select("node", "tokens"), "node").select("tree", "tiles", "node", "n", "part_of", "tokens"), scratch)
+    small = members.where("tiles = 1").select("tree", F.lit(0).alias("tile"), F.lit(-1).alias("part"), F.col("part_of").alias("label"), "node", "tokens")
+    links = small.groupBy(F.pmod(F.xxhash64("tree", F.lit(4)), F.lit(n_bins)).alias("bin")).applyInArrow(_solver(percent), _LINKS)
     large = members.where("tiles > 1")
-    if large.limit(1).count() == 0:
-        return links
-    # Groups of several tiles: what may still link two components.
-    labels = components(links, scratch)
-    large = large.join(labels.withColumnRenamed("label", "part_of"), "node", "left").withColumn("part_of", F.coalesce("part_of", "node"))
-    per = large.groupBy("tree", "part_of").agg(F.count(F.lit(1)).alias("pc"), F.sum("n").alias("ps"))
-    share = F.greatest(F.ceil(F.col("pc") / tile_nodes), F.ceil(F.col("ps") / tile_tokens)).cast("long")
+    if large.limit(1).count():
+        links = links.unionByName(_block_links(large, percent, tile_nodes, tile_tokens, scratch))
+    return materialise(links, scratch)
+
+
+def _block_links(large: DataFrame, percent: int, tile_nodes: int, tile_tokens: int, scratch: list[str]) -> DataFrame:
+    """Links between components among trees of several tiles: pairs of blocks, but for those that hold one component only
+    or sets too unlike in size. Blocks follow the sets' sizes, so most pairs of them do."""
+    per = large.groupBy("tree", "part_of").agg(F.count(F.lit(1)).alias("pc"), F.sum("n").alias("ps")).withColumn("share", _tiles("pc", "ps", tile_nodes, tile_tokens))
     own = (2 * F.col("pc") >= tile_nodes) | (2 * F.col("ps") >= tile_tokens)  # a component that fills tiles of its own
-    per = per.select("tree", "part_of", own.alias("own"), share.alias("share"))
-    large = large.join(per, ["tree", "part_of"])
-    mixed = F.pmod(F.xxhash64("part_of"), F.col("tiles"))
-    large = large.withColumn("block", F.when(F.col("own"), F.xxhash64("part_of", F.pmod(F.xxhash64("node", F.lit(8)), F.col("share")))).otherwise(F.xxhash64(F.lit("mixed"), mixed)))
-    large = materialise(large.select("tree", "block", "part_of", "node", "n", "tokens"), scratch)
+    large = large.join(per.select("tree", "part_of", own.alias("own"), "share"), ["tree", "part_of"])
+    # within a class of sizes of which the largest is a third above the least
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
+    sizes = large.where("not own").groupBy("tree", size.alias("size")).agg(F.count(F.lit(1)).alias("mc"), F.sum("n").alias("ms")).withColumn("lots", _tiles("mc", "ms", tile_nodes, tile_tokens)).select("tree", "size", "lots")
+    large = large.withColumn("size", size).join(sizes, ["tree", "size"], "left")
+    mine = F.xxhash64("part_of", F.pmod(F.xxhash64("node", F.lit(8)), F.col("share")))
+    mixed = F.xxhash64(F.lit("mixed"), F.col("size"), F.pmod(F.xxhash64("part_of"), F.col("lots")))
+    large = materialise(large.select("tree", F.when(F.col("own"), mine).otherwise(mixed).alias("block"), "part_of", "node", "n", "tokens"), scratch)
     blocks = large.groupBy("tree", "block").agg(F.min("part_of").alias("p0"), F.max("part_of").alias("p1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     blocks = materialise(blocks, scratch)
     left, right = (blocks.select(F.col("tree"), *[F.col(c).alias(f"{c}_{s}") for c in ("block", "p0", "p1", "n0", "n1")]) for s in ("x", "y"))
@@ -350,10 +389,21 @@ def _links(nodes: DataFrame, percent: int, n_tokens: int, tile_nodes: int, tile_
     pairs = left.join(right, "tree").where((F.col("block_x") <= F.col("block_y")) & apart & near).select("tree", "block_x", "block_y", F.xxhash64("block_x", "block_y").alias("tile"))
     pairs = materialise(pairs, scratch)
     alone = F.col("block_x") == F.col("block_y")
-    ends = pairs.select("tree", "tile", F.explode(F.when(alone, F.array(F.struct(F.col("block_x").alias("block"), F.lit(-1).alias("part")))).otherwise(F.array(F.struct(F.col("block_x").alias("block"), F.lit(0).alias("part")), F.struct(F.col("block_y").alias("block"), F.lit(1).alias("part"))))).alias("e"))
+    end = lambda c, part: F.struct(F.col(c).alias("block"), F.lit(part).alias("part"))
+    ends = pairs.select("tree", "tile", F.explode(F.when(alone, F.array(end("block_x", -1))).otherwise(F.array(end("block_x", 0), end("block_y", 1)))).alias("e"))
     tasks = ends.select("tree", "tile", "e.block", "e.part").join(large, ["tree", "block"]).select("tree", "tile", "part", F.col("part_of").alias("label"), "node", "tokens")
-    more = tasks.groupBy("tree", "tile").applyInArrow(_solver(percent), _LINKS)
-    return links.unionByName(materialise(more, scratch))
+    return tasks.groupBy("tree", "tile").applyInArrow(_solver(percent), _LINKS)
+
+
+def _labels(nodes: DataFrame, percent: int, tile_nodes: int, tile_tokens: int, scratch: list[str]) -> DataFrame:
+    """(node, label) for every node (node, n, bands, tokens) that links with another."""
+    able = nodes.where(_links_apart(F.col("n"), percent))
+    n_tokens = able.agg(F.sum("n")).first()[0] or 0
+    n_bins = max(1, math.ceil(8 * n_tokens / (2 * PACK_BYTES)))
+    early = _early_links(able, percent, n_bins, tile_nodes, tile_tokens, scratch)
+    labels = components(early, scratch)
+    late = _late_links(able, labels, percent, n_tokens, n_bins, tile_nodes, tile_tokens, scratch)
+    return labels if late is None else components(early.unionByName(late), scratch)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, pack_bytes: int = PACK_BYTES, tile_nodes: int = TILE_NODES, tile_tokens: int = TILE_TOKENS) -> DataFrame:
@@ -361,23 +411,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id for every input row."""
     spark, scratch = docs.sparkSession, []
     found = materialise(_partner_sets(docs, id_col, text_col, percent, width, pack_bytes), scratch)
-    node = F.xxhash64("key")
-    nodes = found.where(F.col("key").isNotNull()).groupBy(node.alias("node")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens", ignorenulls=True).alias("tokens"))
-    nodes = materialise(nodes, scratch)
+    nodes = found.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"), F.first("tokens", ignorenulls=True).alias("tokens"))
+    # numbers, not hashes of keys: no two sets share one. Written out, they hold for good
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), scratch)
     # the rows without their shingles; the shingles themselves are from here on those of the nodes
-    rows = materialise(found.select("id", "text_hash", "n", F.when(F.col("key").isNotNull(), node).alias("node")))
+    rows = materialise(found.select("id", "text_hash", "n", "key"))
     discard(spark, scratch, last=1)
-    n_tokens = nodes.agg(F.sum("n")).first()[0] or 0
-    labels = components(_links(nodes.select("node", "n", "tokens"), percent, n_tokens, tile_nodes, tile_tokens, scratch), scratch)
-    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    labels = _labels(nodes.select("node", "n", "bands", "tokens"), percent, tile_nodes, tile_tokens, scratch)
+    named = nodes.select("key", "node", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
     named = materialise(named)
     discard(spark, scratch)
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "label").select("node", "label", "component_id")
-    out = rows.join(ids, "node", "left")
+    ids = named.join(least, "label").select("key", "label", "component_id")
+    out = rows.join(ids, "key", "left")
     return out.select("id", "text_hash", F.col("n").alias("n_shingles"), F.col("label").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+#: DuckDB: words compared as words, all pairs that share a shingle, and who reaches whom.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                       ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM d),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+b AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.rid <> y.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM b JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT r.a AS rid, min(o.doc_id) AS component_id FROM r JOIN d o ON o.rid = r.b GROUP BY r.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN m USING (rid)"""

@@ -50,8 +50,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, threshold: int, gram: int) ->
     n, span = len(data), threshold - gram + 1
     if n < threshold:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    starts = np.arange(n - gram + 1)
-    digits = kernels.span_hashes(data, starts, starts + gram)
+    digits = kernels.window_hashes(data, gram)
     least = kernels.sliding(digits, span)
     valid = np.zeros(n + 1, np.int64)
     long = np.flatnonzero(np.diff(offsets) >= threshold)

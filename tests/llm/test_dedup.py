@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edgesmith.llm import kernels, op1_fingerprints as op1, op2_suffix_dedup as op2, op10_jaccard_join as op10
 
 from . import fixtures as X
+from .test_others import against_sql
 
 
 def pairs_of(df):
@@ -68,6 +69,33 @@ def test_large_groups_in_many_tiles(spark):
     assert len({c for _, c in want.values()}) == 1
 
 
+def test_chains_of_shared_passages_make_no_group(spark):
+    """Each text shares one passage with the next and is no near copy: many trees of two, none of all."""
+    r = np.random.default_rng(7)
+    passages = [" ".join(f"p{k}x{r.integers(1 << 20)}" for _ in range(16)) for k in range(61)]
+    rows = [f"{passages[k]} " + " ".join(f"own{k}x{i}" for i in range(10)) + f" {passages[k + 1]}" for k in range(60)]
+    rows += [rows[5] + " end", rows[40].upper()]
+    docs = X.documents(spark, rows)
+    for tile_nodes in (2, 1024):
+        got = {r.id: (r.n_shingles, r.component_id) for r in op10.near_duplicates(docs, tile_nodes=tile_nodes).collect()}
+        assert got == X.components(pairs_of(docs))
+        assert len({c for _, c in got.values()}) == 60
+
+
+def test_words_of_two_letters_do_not_collide(spark):
+    """Complements of one another in letters, which every polynomial modulo a power of two takes for one."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = X.documents(spark, [word, other, f"{word} x y z v w", f"{other} x y z v w", f"{word} x y z v w"])
+    assert {r.id: (r.n_shingles, r.component_id) for r in op10.near_duplicates(docs).collect()} == X.components(pairs_of(docs))
+
+
+def test_components_match_sql(spark, tmp_path):
+    against_sql(spark, tmp_path, op10.SQL, op10.op10_jaccard_join, "documents", X.documents(spark, X.texts(120, 14)))
+
+
 def test_components_edge_cases(spark):
     docs = spark.createDataFrame([(5, "a b"), (4, "A  b"), (4, "A  b"), (None, "a\tB"), (7, None), (8, " "), (9, "a b c")], "doc_id long, text string").withColumn("node", F.lit(1))
     got = sorted(((r.id or 0, r.n_shingles, r.component_id) for r in op10.near_duplicates(docs).collect()))
