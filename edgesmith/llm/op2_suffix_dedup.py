@@ -3,15 +3,19 @@
 Suffixes are ordered only through ``threshold`` bytes, by most-significant-digit passes, and equal
 groups are exactly the repeated windows:
 
-1. The first digit is a hash of ``gram`` bytes. Every window of ``threshold`` bytes holds a
-   smallest-hash gram, its anchor, chosen from the window's own bytes alone, so equal windows hold
-   the same anchor at the same place. Only about one suffix in thirteen starts at an anchor; these
-   are dealt to buckets by digit, and digits found once drop out (a singleton group of a radix pass).
+1. The first digit is a hash of ``gram`` bytes (ordering all suffixes by their leading bytes would send
+   every byte of the input several times). Every window of ``threshold`` bytes holds a smallest-hash
+   gram, its anchor, chosen from the window's own bytes alone, so equal windows hold the same anchor at
+   the same place. Only about one suffix in thirteen starts at an anchor; these are dealt to buckets by
+   digit, and digits found once drop out (a singleton group of a radix pass).
 2. The suffixes that are left meet in their digit's bucket with the bytes around them, and passes of
    eight bytes refine the groups: first the anchor itself, then the bytes after it, then those before
    it, backwards. Groups of one document drop out. What remains is compared byte by byte; hashes
    only deal out work.
-3. Each pack of documents takes the covered spans back and cuts them from its texts.
+3. A digit with more than ``crowd`` suffixes in different surroundings (a rule of dashes, a common line)
+   is dealt on by its next digit: each window around such an anchor goes to the bucket of its own
+   ``threshold`` bytes, where the equal ones meet. So no bucket holds a whole crowd, and none is left out.
+4. Each pack of documents takes the covered spans back and cuts them from its texts.
 
 Before a shuffle each pack keeps one suffix for each distinct surrounding, that of the smallest id,
 so a passage in a third of all documents sends one row a pack. Nothing is capped or sampled. Packs
@@ -41,6 +45,8 @@ from .packs import MESSAGE, Digits, messages, spread, squeeze
 THRESHOLD = 50
 GRAM = 24
 PACK_BYTES = 4 << 20
+#: Suffixes of one digit, in different surroundings, that one bucket takes.
+CROWD = 1 << 14
 LAST = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -63,6 +69,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, threshold: int, gram: int) ->
     return at, digits[at]
 
 
+def _around(data: np.ndarray, at: np.ndarray, threshold: int, gram: int) -> np.ndarray:
+    """A hash of the bytes on both sides of each anchor, to count in how many surroundings a digit stands."""
+    sides = kernels.window_hashes(data, threshold - gram)
+    if not len(at):
+        return np.zeros(0, U)
+    return kernels.mix(sides[np.maximum(at - threshold + gram, 0)]) + sides[np.minimum(at + gram, len(sides) - 1)]
+
+
 class _Pack:
     """The documents of one pack in a fixed order, with their anchors."""
 
@@ -78,9 +92,9 @@ class _Pack:
             for i, j in kernels.chunks(self.offsets):
                 a, b = self.offsets[i], self.offsets[j]
                 at, digits = anchors(self.data[a:b], self.offsets[i : j + 1] - a, threshold, gram)
-                found.append((at + a, digits))
+                found.append((at + a, digits, _around(self.data[a:b], at, threshold, gram)))
             self.at = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
-            self.digits = np.concatenate([f[1] for f in found] or [np.zeros(0, U)])
+            self.digits, self.around = (np.concatenate([f[k] for f in found] or [np.zeros(0, U)]) for k in (1, 2))
             self.doc = np.searchsorted(self.offsets, self.at, "right") - 1
 
 
@@ -216,12 +230,27 @@ def _collapse(records: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _same_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their bytes, by radix passes, and the group of equal bytes that each is in."""
+    return _order(_words(windows), np.zeros(len(windows), np.int64), np.arange(len(windows)), np.zeros(0, np.int64), False)
+
+
+def _held_before(rows: np.ndarray, groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window whether a smaller id has the same bytes."""
+    out = np.zeros(len(ids), bool)
+    if len(rows):
+        first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        least = np.repeat(np.minimum.reduceat(ids[rows], first), np.diff(np.append(first, len(rows))))
+        out[rows] = ids[rows] > least
+    return out
+
+
 def _spans_of(low: np.ndarray, high: np.ndarray, at: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes that the matching windows around each anchor cover: they overlap, so they are one run."""
     return at - high, at - low + threshold
 
 
-def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, pack_bytes: int = PACK_BYTES, with_text: bool = True) -> DataFrame:
+def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, pack_bytes: int = PACK_BYTES, with_text: bool = True, crowd: int = CROWD) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, the removed ``spans``
     (byte ranges), ``kept_text`` (a character cut in two is dropped; null without ``with_text``) and
     ``carry``, the input's other columns."""
@@ -233,14 +262,75 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     codes = Digits(total, n_buckets)
     others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(7)), F.lit(n_packs)).alias("g"),
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(7)), F.lit(n_packs)).alias("g"),
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
         F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("carry"),
     )
     packs = rows.groupBy("g")
 
     def first_digits(rows: pa.Table) -> pa.Table:
-        return codes.deal(rows.column("g")[0].as_py(), np.unique(codes.short(_Pack(rows, threshold, gram).digits)))
+        """Distinct digits of a pack, to their buckets, each with the number of its surroundings here."""
+        pack = _Pack(rows, threshold, gram)
+        order = np.lexsort((pack.around, digits := codes.short(pack.digits)))
+        digits, around = digits[order], pack.around[order]
+        new = np.ones(len(digits), bool)
+        new[1:] = (digits[1:] != digits[:-1]) | (around[1:] != around[:-1])
+        keys, counts = np.unique(digits[new], return_counts=True)
+        home, g = codes.home(keys), rows.column("g")[0].as_py()
+        order = np.argsort(home, kind="stable")
+        buckets, where = np.unique(home[order], return_index=True)
+        parts = np.split(order, where[1:]) if len(buckets) else []
+        return messages(buckets.tolist(), [g] * len(buckets), [squeeze(codes.to_bytes(keys[p]), counts[p].astype("<i4")) for p in parts])
+
+    def repeated(rows: pa.Table) -> pa.Table:
+        """In a bucket: tell each pack which of its digits another pack has too, and which are crowds."""
+        lots = [spread(b, "u1", "<i4") for b in rows.column("blob").to_pylist()]
+        lists = [codes.from_bytes(x[0]) for x in lots]
+        keys, back, packs_with = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        crowds = np.bincount(back, np.concatenate([x[1] for x in lots]).astype(np.float64)) > crowd
+        out_g, out_b, at = [], [], 0
+        for g, digits in zip(rows.column("g").to_pylist(), lists, strict=True):
+            which = back[at : at + len(digits)]
+            at += len(digits)
+            keep = packs_with[which] > 1
+            if keep.any():
+                out_g.append(g)
+                out_b.append(squeeze(codes.to_bytes(digits[keep]), crowds[which[keep]]))
+        return messages([0] * len(out_g), out_g, out_b)
+
+    def windows_of(pack: _Pack, records: np.ndarray, doc: np.ndarray, local: np.ndarray, g: int) -> tuple[list, list, list]:
+        """Messages with every window around the anchors of crowds, to the bucket of its bytes; what a smaller id of
+        this pack holds is told to the pack at once, and only the first of equal ones is sent."""
+        side = threshold - gram
+        left, right = records[:, -2].astype(np.int64), records[:, -1].astype(np.int64)
+        who, starts, parts = [], [], []
+        for o in range(side + 1):
+            fit = np.flatnonzero((left >= o) & (right >= side - o))
+            who.append(doc[fit])
+            starts.append(local[fit] - o)
+            parts.append(records[fit, side - o : side - o + threshold])
+        who, starts, windows = np.concatenate(who), np.concatenate(starts), np.concatenate(parts)
+        if not len(who):
+            return [], [], []
+        rows, names = _same_windows(windows)
+        held = _held_before(rows, names, pack.ids[who])
+        span = lambda at: squeeze(who[at].astype("<i4"), starts[at].astype("<i8"), (starts[at] + threshold).astype("<i8"))
+        buckets, gs, blobs = [-1 - g], [g], [span(np.flatnonzero(held))]
+        # the rest, in the order of bytes: windows of the smallest id that has them here
+        stay = ~held[rows]
+        rows, names = rows[stay], names[stay]
+        lead = np.concatenate([[True], names[1:] != names[:-1]]) if len(rows) else np.zeros(0, bool)
+        home = codes.home(_digest(windows[rows[lead]]))
+        group = np.cumsum(lead) - 1
+        place, where = np.empty(len(home), np.int64), home[group] if len(rows) else home
+        for bucket in np.unique(home):
+            mine, members = np.flatnonzero(home == bucket), np.flatnonzero(where == bucket)
+            place[mine] = np.arange(len(mine))
+            at = rows[members]
+            buckets.append(n_buckets + int(bucket))
+            gs.append(g)
+            blobs.append(squeeze(windows[rows[lead][mine]], pack.ids[who[rows[lead][mine]]].astype("<i8"), place[group[members]].astype("<i4"), who[at].astype("<i4"), starts[at].astype("<i8")))
+        return buckets, gs, blobs
 
     def suffixes(rows: pa.Table, hits: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -248,7 +338,8 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         g = rows.column("g")[0].as_py()
         pack = _Pack(rows, threshold, gram)
         digits = codes.short(pack.digits)
-        known = codes.told(hits)
+        told = [spread(b, "u1", "?") for b in hits.column("blob").to_pylist()]
+        known, crowds = (np.concatenate([np.zeros(0, k), *x]) for k, x in ((U, [codes.from_bytes(t[0]) for t in told]), (bool, [t[1] for t in told])))
         keys, inverse = np.unique(digits, return_inverse=True)
         ids = pack.ids[pack.doc]
         small, large = np.full(len(keys), LAST, np.int64), np.full(len(keys), np.iinfo(np.int64).min, np.int64)
@@ -258,9 +349,9 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not len(take):
             return messages([], [], [])
         at, doc, ids, digits = pack.at[take], pack.doc[take], ids[take], digits[take]
+        crowded = np.isin(digits, known[crowds])
         records = _records(pack, at, doc, threshold, gram)
         lead = _collapse(records, ids)
-        leads = np.flatnonzero(lead == np.arange(len(lead)))
         local = (at - pack.offsets[doc]).astype(np.int64)
         buckets, gs, blobs = [], [], []
         later = np.flatnonzero(ids > ids[lead])  # wholly held by a smaller id of this pack
@@ -270,7 +361,13 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             a, b = _spans_of(low, high, local[later], threshold)
             ok = low <= high
             buckets, gs, blobs = [-1 - g], [g], [squeeze(doc[later][ok].astype("<i4"), a[ok].astype("<i8"), b[ok].astype("<i8"))]
-        twins = np.flatnonzero((lead != np.arange(len(lead))) & (ids == ids[lead]))  # same document, same surroundings
+        first = ids == ids[lead]
+        if crowded.any():
+            many = np.flatnonzero(crowded & first)
+            for out, more in zip((buckets, gs, blobs), windows_of(pack, records[many], doc[many], local[many], g), strict=True):
+                out += more
+        leads = np.flatnonzero((lead == np.arange(len(lead))) & ~crowded)
+        twins = np.flatnonzero((lead != np.arange(len(lead))) & first & ~crowded)  # same document, same surroundings
         home = codes.home(digits)
         rank = np.empty(len(lead), np.int64)
         for bucket in np.unique(home[leads]):
@@ -282,11 +379,28 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             blobs.append(squeeze(records[mine], ids[mine].astype("<i8"), doc[mine].astype("<i4"), local[mine].astype("<i8"), rank[lead[t]].astype("<i4"), doc[t].astype("<i4"), local[t].astype("<i8")))
         return messages(buckets, gs, blobs)
 
+    def equal_windows(gs: list[int], blobs: list[bytes]) -> pa.Table:
+        """The windows of crowds that one bucket has: which of them a smaller id of another pack holds."""
+        lots = [spread(b, "u1", "<i8", "<i4", "<i4", "<i8") for b in blobs]
+        windows = np.concatenate([x[0] for x in lots]).reshape(-1, threshold)
+        held = _held_before(*_same_windows(windows), np.concatenate([x[1] for x in lots]))
+        out_g, out_b, at = [], [], 0
+        for g, (_, ids, of, doc, start) in zip(gs, lots, strict=True):
+            hit = held[at : at + len(ids)][of]
+            at += len(ids)
+            if hit.any():
+                out_g.append(g)
+                out_b.append(squeeze(doc[hit].astype("<i4"), start[hit].astype("<i8"), (start[hit] + threshold).astype("<i8")))
+        return messages([0] * len(out_g), out_g, out_b)
+
     def groups(rows: pa.Table) -> pa.Table:
         """The other passes, for the suffixes of one bucket."""
         gs, blobs = rows.column("g").to_pylist(), rows.column("blob").to_pylist()
-        if rows.column("bucket")[0].as_py() < 0:
+        bucket = rows.column("bucket")[0].as_py()
+        if bucket < 0:
             return messages([0] * len(gs), gs, blobs)
+        if bucket >= n_buckets:
+            return equal_windows(gs, blobs)
         lots = [spread(b, "u1", "<i8", "<i4", "<i8", "<i4", "<i4", "<i8") for b in blobs]
         sizes = [len(x[1]) for x in lots]
         records = np.concatenate([x[0] for x in lots]).reshape(sum(sizes), -1)
@@ -334,7 +448,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table([pack.rows.column("id"), *cols, pack.rows.column("carry")], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", "carry"])
 
     digits = packs.applyInArrow(first_digits, MESSAGE)
-    hits = digits.groupBy("bucket").applyInArrow(lambda rows: codes.repeated(rows), MESSAGE)
+    hits = digits.groupBy("bucket").applyInArrow(repeated, MESSAGE)
     found = packs.cogroup(hits.groupBy("g")).applyInArrow(suffixes, MESSAGE)
     spans = found.groupBy("bucket").applyInArrow(groups, MESSAGE)
     return packs.cogroup(spans.groupBy("g")).applyInArrow(cut, result)
@@ -343,3 +457,19 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removed_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: DuckDB, on the hexadecimal digits of the bytes: windows, their least document, runs of hit windows, what is between.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, o, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT rid, o, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT k, min(o) AS first FROM w GROUP BY k),
+t AS (SELECT rid, p FROM w JOIN f USING (k) WHERE first < o),
+r AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run
+      FROM (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM t)),
+s AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY rid, run),
+k AS (SELECT rid, b AS x, lead(a) OVER (PARTITION BY rid ORDER BY a) AS y FROM s UNION ALL SELECT rid, 0, min(a) FROM s GROUP BY rid),
+c AS (SELECT rid, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, len(h) // 2) - x)), '' ORDER BY x) AS kept FROM k JOIN d USING (rid) GROUP BY rid),
+n AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (rid) LEFT JOIN n USING (rid)"""

@@ -34,6 +34,23 @@ def test_passages_of_other_lengths(spark):
     assert {r.id: r.n_removed for r in got} == {i: w[1] for i, w in want.items()}
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowds_are_dealt_by_their_windows(spark, crowd):
+    """A line of fewer bytes than a passage in every text, in other surroundings each, beside passages and repeats."""
+    r = np.random.default_rng(4)
+    noise = lambda k: "".join(map(chr, r.integers(97, 123, k)))
+    line = "-" * 30 + " a line that all have"
+    rows = [noise(40) + line[: 49 - i % 3] + noise(30) for i in range(40)] + [f"{noise(9)} {line} {noise(9)}" * 2 for _ in range(6)] + X.texts(40, 11)
+    docs = X.documents(spark, rows)
+    want = X.passages(pairs_of(docs))
+    got = op2.removed_passages(docs, pack_bytes=1_500, crowd=crowd).collect()
+    assert {i.id: (i.n_bytes, i.n_removed, i.n_spans, i.kept_sha256) for i in got} == {i: w[:4] for i, w in want.items()}
+
+
+def test_passages_match_sql(spark, tmp_path):
+    against_sql(spark, tmp_path, op2.SQL, op2.op2_suffix_dedup, "documents", X.documents(spark, X.texts(100, 15)))
+
+
 def test_passages_edge_cases(spark):
     t = "abcdefghij" * 6
     docs = spark.createDataFrame([(1, t, "x"), (1, t, "y"), (None, t, "z"), (2, None, "n"), (3, "", "e"), (4, t + "é", "c")], "doc_id long, text string, bucket string").withColumn("g", F.lit(5)).withColumn("id", F.lit(6))
