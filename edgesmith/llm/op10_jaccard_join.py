@@ -17,9 +17,11 @@ The result is each document's component over those links.
    nearly all near copies early and prove nothing about the rest. A group beyond a tile is dealt into
    tiles, by other lots in each order, so that the second ties together what the first kept apart.
 4. Then, for every link that may be missing: among the nodes' shingles those that occur once drop out;
-   the rest, rarest first, give each node the shortest prefix that must meet a partner's. One tree for
-   each prefix shingle whose nodes are not all in one component by now; of shingles with the same nodes
-   one tree serves all. So chains of documents that share one passage each with the next never grow
+   the rest, rarest first, give each node a prefix as in 1. A node goes on only if enough of its prefix
+   is shared with another component, by the same bound. What is left is tied together by the shingles of
+   the shortest prefixes that must meet and whose nodes are not all in one component by now. A group
+   that fits in a tile is one tree. A larger one has one tree for each shingle instead, and one for all
+   shingles with the same nodes. So chains of documents that share one passage each with the next never grow
    into one group. A shingle with more nodes than a tile is dealt into blocks, and every pair of blocks
    that may hold links between two components is traversed in its own task: split, whole, and exact.
 
@@ -253,7 +255,8 @@ def _partner_sets(docs: DataFrame, id_col: str, text_col: str, percent: int, wid
 
 
 def _postings(nodes: DataFrame, n_tokens: int, percent: int) -> DataFrame:
-    """(token, node): each node's prefix, rarest shingles first, without those that no other node has."""
+    """(token, node, head): each node's prefix, rarest shingles first, without those that no other node has. ``head``
+    marks the shortest prefix, of which partners share one."""
     n_packs = max(1, math.ceil(8 * n_tokens / (2 * PACK_BYTES)))
     n_buckets = n_packs
     packs = nodes.select(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(n_packs)).alias("g"), "node", "tokens").groupBy("g")
@@ -284,7 +287,7 @@ def _postings(nodes: DataFrame, n_tokens: int, percent: int) -> DataFrame:
         often = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in lots)])
         order = np.argsort(keys)
         keys, often = keys[order], often[order]
-        out_t, out_n = [], []
+        out_t, out_n, out_h = [], [], []
         for node, t in zip(rows.column("node").to_pylist(), tokens_of(rows) if rows.num_rows else [], strict=True):
             at = np.searchsorted(keys, t)
             found = np.zeros(len(t), bool)
@@ -292,15 +295,18 @@ def _postings(nodes: DataFrame, n_tokens: int, percent: int) -> DataFrame:
             found[inside] = keys[at[inside]] == t[inside]
             df = np.ones(len(t), np.int64)
             df[found] = often[at[found]]
-            first = np.lexsort((t, df))[: len(t) - int(_least_partner(np.int64(len(t)), percent)) + 1]
-            keep = t[first][df[first] > 1]
-            out_t.append(keep.view(np.int64))
-            out_n.append(np.full(len(keep), node, np.int64))
+            n = np.int64(len(t))
+            short = int(n - _least_partner(n, percent)) + 1
+            first = np.lexsort((t, df))[: short - 1 + int(_spare(n))]
+            keep = df[first] > 1
+            out_t.append(t[first][keep].view(np.int64))
+            out_n.append(np.full(len(out_t[-1]), node, np.int64))
+            out_h.append(np.flatnonzero(keep) < short)
         empty = np.zeros(0, np.int64)
-        return pa.table([np.concatenate([empty, *out_t]), np.concatenate([empty, *out_n])], ["token", "node"])
+        return pa.table([np.concatenate([empty, *out_t]), np.concatenate([empty, *out_n]), np.concatenate([np.zeros(0, bool), *out_h])], ["token", "node", "head"])
 
     told = packs.applyInArrow(tell, MESSAGE).groupBy("bucket").applyInArrow(add, MESSAGE)
-    return packs.cogroup(told.groupBy("g")).applyInArrow(choose, "token long, node long")
+    return packs.cogroup(told.groupBy("g")).applyInArrow(choose, "token long, node long, head boolean")
 
 
 _LINKS = "a long, b long"
@@ -350,18 +356,31 @@ def _late_links(nodes: DataFrame, labels: DataFrame, percent: int, n_tokens: int
     """All links that the components in ``labels`` still miss, or None if no prefix shingle spans two of them."""
     posts = materialise(_postings(nodes, n_tokens, percent), scratch)
     parts = materialise(nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("part_of")), scratch)
-    span = posts.join(parts, "node").groupBy("token").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("part_of").alias("low"), F.max("part_of").alias("high"),
+    least = F.expr(f"(n * {percent} + 99) div 100")
+    need = F.greatest(F.lit(1).cast("long"), (least * 15 / 100).cast("long"))
+    spans = lambda of: of.groupBy("token").agg(F.min("part_of").alias("low"), F.max("part_of").alias("high")).where("low <> high").select("token")
+    for _ in range(2):  # the second time without what only nodes that went had in common
+        met = posts.join(spans(posts.join(parts, "node")), "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+        parts = materialise(parts.join(met, "node").where(F.col("met") >= need).select("node", "n", "part_of"), scratch)
+    heads = materialise(posts.where("head").select("token", "node").join(parts, "node"), scratch)
+    lists = heads.groupBy("token").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("part_of").alias("low"), F.max("part_of").alias("high"), F.min("node").alias("centre"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2"),
-    )
-    lists = span.where("low <> high").groupBy("x1", "x2", "c", "s").agg(F.min("token").alias("tree"))
-    lists = materialise(lists.select("tree", _tiles("c", "s", tile_nodes, tile_tokens).alias("tiles")), scratch)
+    ).where("low <> high")
+    lists = lists.groupBy("x1", "x2", "c", "s").agg(F.min("token").alias("token"), F.first("centre").alias("centre"))
+    lists = materialise(lists.select("token", "centre", _tiles("c", "s", tile_nodes, tile_tokens).alias("tiles")), scratch)
     if lists.limit(1).count() == 0:
         return None
-    members = posts.join(lists, posts["token"] == lists["tree"]).select("tree", "tiles", "node")
-    members = materialise(members.join(parts, "node").join(nodes.select("node", "tokens"), "node").select("tree", "tiles", "node", "n", "part_of", "tokens"), scratch)
-    small = members.where("tiles = 1").select("tree", F.lit(0).alias("tile"), F.lit(-1).alias("part"), F.col("part_of").alias("label"), "node", "tokens")
-    links = small.groupBy(F.pmod(F.xxhash64("tree", F.lit(4)), F.lit(n_bins)).alias("bin")).applyInArrow(_solver(percent), _LINKS)
+    tied = heads.join(lists.select("token", "centre"), "token").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    groups = components(tied, scratch).withColumnRenamed("label", "tree")
+    sizes = groups.join(parts, "node").groupBy("tree").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select("tree", _tiles("c", "s", tile_nodes, tile_tokens).alias("group_tiles"))
+    groups = materialise(groups.join(sizes, "tree"), scratch)
+    whole = groups.where("group_tiles = 1").join(parts, "node").select("tree", F.lit(-1).alias("tile"), F.lit(1).cast("long").alias("tiles"), "node", "n", "part_of")
+    single = lists.join(groups.where("group_tiles > 1").select(F.col("node").alias("centre")), "centre").select("token", "tiles")
+    single = heads.join(single, "token").select(F.col("token").alias("tree"), F.lit(0).alias("tile"), "tiles", "node", "n", "part_of")
+    members = materialise(whole.unionByName(single).join(nodes.select("node", "tokens"), "node"), scratch)
+    small = members.where("tiles = 1").select("tree", "tile", F.lit(-1).alias("part"), F.col("part_of").alias("label"), "node", "tokens")
+    links = small.groupBy(F.pmod(F.xxhash64("tree", "tile", F.lit(4)), F.lit(n_bins)).alias("bin")).applyInArrow(_solver(percent), _LINKS)
     large = members.where("tiles > 1")
     if large.limit(1).count():
         links = links.unionByName(_block_links(large, percent, tile_nodes, tile_tokens, scratch))
