@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgesmith.functions.lineage import checkpoint_folder
+
 #: With it, Spark removes a plan's shuffle files as soon as the plan has run.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -20,18 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        root = tempfile.mkdtemp(prefix="edgesmith-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 def materialise(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
@@ -39,7 +28,7 @@ def materialise(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     ``scratch``, if given, so that ``discard`` can remove it as soon as nothing reads it any more.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/edgesmith-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/edgesmith-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
@@ -74,6 +63,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_pack(rows: DataFrame, n_packs: int) -> DataFrame:
+    """rows dealt by their pack ``g`` over as many partitions as hold a few packs each, so that tasks don't grow with the input."""
+    return rows.repartition(max(partitions(rows.sparkSession), min(-(-n_packs // 2), 100_000)), "g")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total UTF-8 bytes of a text column: one column scan, one number to the driver."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)

@@ -2,13 +2,14 @@
 
 The global histogram of lengths goes through dynamic programming that chooses at most ``n_buckets``
 boundaries with the least total padding when each document is padded to its bucket's longest length.
-Lengths of 2048 and more are first gathered in cells of 11 leading bits (each up to its longest
-length), so the histogram has a bounded number of entries for any input: 2048, and 1024 for each
-further doubling of the longest length. Below 2048 the boundaries are exactly optimal.
+The choice is optimal over all distinct lengths, whatever they are: the histogram has one entry for
+each (of documents with T words in all, at most the root of 2 T), and a round of the programme solves
+all its subproblems of one depth at once.
 
-A bucket's documents are put in a fixed shuffled order and cut into batches of floor(budget / bucket
-length) documents, at least one: a document over the budget gets a batch of its own. Ranks come from
-slices, so no task holds a whole bucket.
+A bucket's documents are put in a fixed shuffled order (by a digest of id and text) and cut into batches
+of floor(budget / bucket length) documents, at least one: a document over the budget gets a batch of its
+own. Ranks come from slices, so no task holds a whole bucket. ``batches`` gathers the documents of each
+batch; a batch is bounded by the budget.
 
 Defined results: null and negative lengths count as 0; length 0 is padded like any other. Repeated
 rows count each. An empty table gives an empty result. The input's columns come back in ``row``.
@@ -25,37 +26,42 @@ from .ranks import running_start, shuffle_key, slice_of, slices_for
 
 BUCKETS = 16
 BUDGET = 32_768
-_EXACT = 11
 
 
-def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, n_buckets: int) -> list[int]:
-    """Upper ends (ascending lengths) of the buckets that pad least; totals are counts times true lengths.
+def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
+    """Upper ends of the buckets that pad least, from ascending distinct lengths and how many documents have each.
 
-    best[k][j] is the least padding of the first j cells in k buckets. The choice is monotone, so each
-    round is solved by halving.
+    best[j] is the least padding of the first j lengths in so many buckets. Where the last bucket starts only
+    grows with j, so a round halves the range of j: all middles of one depth are solved together, each
+    between what its neighbours found.
     """
     n = len(lengths)
     if not n:
         return []
     edge = lengths.astype(np.float64)
-    c, s = np.concatenate([[0.0], np.cumsum(counts)]), np.concatenate([[0.0], np.cumsum(totals)])
+    c, s = np.concatenate([[0.0], np.cumsum(counts, dtype=np.float64)]), np.concatenate([[0.0], np.cumsum(lengths.astype(np.float64) * counts)])
     best = np.full(n + 1, np.inf)
     best[0] = 0.0
     choices = []
     for _ in range(min(n_buckets, n)):
         new, pick = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         new[0] = 0.0
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        lo, hi, a, b = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            cost = best[i] + edge[j - 1] * (c[j] - c[i]) - (s[j] - s[i])
-            k = int(np.argmin(cost))
-            new[j], pick[j] = cost[k], i[k]
-            todo += [(lo, j - 1, a, int(i[k])), (j + 1, hi, int(i[k]), b)]
+            last = np.minimum(b, j - 1)
+            size = last - a + 1
+            first = np.cumsum(size) - size
+            i = np.arange(size.sum()) - np.repeat(first - a, size)
+            to = np.repeat(j, size)
+            cost = best[i] + edge[to - 1] * (c[to] - c[i]) - (s[to] - s[i])
+            least = np.minimum.reduceat(cost, first)
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            at = at[np.searchsorted(at, first)]  # the first of equals
+            new[j], pick[j] = least, i[at]
+            lo, hi, a, b = np.concatenate([lo, j + 1]), np.concatenate([j - 1, hi]), np.concatenate([a, i[at]]), np.concatenate([i[at], b])
+            live = lo <= hi
+            lo, hi, a, b = lo[live], hi[live], a[live], b[live]
         choices.append(pick)
         best = new
     out, j = [], n
@@ -67,36 +73,38 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarr
     return sorted(out)
 
 
-def histogram(lengths: DataFrame, column: str = "length") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest length, documents and summed length of each cell: a bounded number of rows on the driver."""
-    bits = F.greatest(F.floor(F.log2(F.greatest(F.col(column), F.lit(1)).cast("double") + 0.5)).cast("int") - (_EXACT - 1), F.lit(0))
-    cell = F.expr(f"shiftleft(shiftright({column}, b), b)")
-    rows = lengths.withColumn("b", bits).groupBy(cell.alias("cell")).agg(F.max(column).alias("top"), F.count(F.lit(1)).alias("n"), F.sum(column).alias("s")).collect()
-    rows.sort(key=lambda r: r["top"])
-    return tuple(np.array([r[k] for r in rows], np.int64) for k in ("top", "n", "s"))
+def histogram(lengths: DataFrame, column: str = "length") -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths, ascending, and how many documents have each."""
+    rows = lengths.groupBy(F.col(column).alias("length")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    order = np.argsort(rows.column("length").to_numpy())
+    return rows.column("length").to_numpy()[order], rows.column("n").to_numpy()[order]
 
 
-def pack(docs: DataFrame, length: Column, key: list[str] | None = None, n_buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(docs: DataFrame, length: Column, key: Column | None = None, n_buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """row, length, bucket (0 for the shortest), bucket_length, batch (from 0 in each bucket), slot
     (from 0 in each batch) and padding, for every input row."""
-    key = key or ["doc_id"]
+    key = shuffle_key(F.col("doc_id"), F.col("text")) if key is None else key
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns))
-    d = docs.select(row.alias("row"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("length"), shuffle_key(*[F.col(f"`{k}`") for k in key]).alias("key"))
-    d = materialise(d)
-    tops, counts, totals = histogram(d)
-    edges = optimal_boundaries(tops, counts, totals, n_buckets)
-    if not edges:
-        edges = [0]
-    bucket = F.lit(len(edges) - 1).cast("long")
+    d = materialise(docs.select(row.alias("row"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("length"), key.alias("key")))
+    lengths, counts = histogram(d)
+    edges = optimal_boundaries(lengths, counts, n_buckets) or [0]
     ends = F.array(*[F.lit(e).cast("long") for e in edges])
     bucket = F.size(F.filter(ends, lambda e: e < F.col("length"))).cast("long")
     placed = d.withColumn("bucket", bucket).withColumn("bucket_length", F.element_at(ends, (F.col("bucket") + 1).cast("int"))).withColumn("slice", slice_of(F.col("key"), slices_for(int(counts.sum()))))
-    ranked = running_start(placed, ["bucket"], "slice", ["key", *[F.col(f"row.`{k}`") for k in key], "length"], F.lit(1).cast("long"), "rank")
+    ranked = running_start(placed, ["bucket"], "slice", ["key", "length"], F.lit(1).cast("long"), "rank")
     room = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))), F.lit(1)).cast("long")
     return ranked.select("row", "length", "bucket", "bucket_length", F.floor(F.col("rank") / room).cast("long").alias("batch"), F.pmod(F.col("rank"), room).cast("long").alias("slot"), (F.col("bucket_length") - F.col("length")).alias("padding"))
 
 
+def batches(packed: DataFrame, *columns: str) -> DataFrame:
+    """bucket, batch, bucket_length, n_docs, padding and ``docs``, the named columns of the rows with their lengths in the
+    order of their slots: one row a batch, bounded by the budget (or one document)."""
+    doc = F.struct("slot", "length", *[F.col(f"row.`{c}`").alias(c) for c in columns])
+    got = packed.groupBy("bucket", "batch", "bucket_length").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("padding").alias("padding"), F.sort_array(F.collect_list(doc)).alias("docs"))
+    return got.select("bucket", "batch", "bucket_length", "n_docs", "padding", F.transform("docs", lambda x: x.dropFields("slot")).alias("docs"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("words"))
-    return pack(sized, F.col("words")).select("row.doc_id", "length", "bucket", "bucket_length", "batch", "slot", "padding")
+    sized = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("words"), shuffle_key(F.col("doc_id"), F.col("text")).alias("key"))
+    return pack(sized, F.col("words"), F.col("key")).select("row.doc_id", "length", "bucket", "bucket_length", "batch", "slot", "padding")

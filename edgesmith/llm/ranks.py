@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def shuffle_key(*parts: Column) -> Column:

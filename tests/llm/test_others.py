@@ -101,7 +101,7 @@ def test_boundaries_are_optimal():
         lengths = [r.randrange(0, 30) for _ in range(r.randrange(1, 25))]
         tops, counts = np.unique(lengths, return_counts=True)
         k = r.randrange(1, 5)
-        got = op5.optimal_boundaries(tops, counts, tops * counts, k)
+        got = op5.optimal_boundaries(tops, counts, k)
         best = min(padding(lengths, (*c, max(lengths))) for n in range(k) for c in itertools.combinations(sorted(set(lengths)), min(n, len(set(lengths)))))
         assert len(got) <= k and padding(lengths, got) == best
 
@@ -119,15 +119,33 @@ def test_packing(spark):
         assert len(rows) == 1 or len(rows) * rows[0].bucket_length <= 400
     lengths = [r.length for r in out]
     tops, counts = np.unique(lengths, return_counts=True)
-    assert sum(r.padding for r in out) == padding(lengths, op5.optimal_boundaries(tops, counts, tops * counts, 4))
+    assert sum(r.padding for r in out) == padding(lengths, op5.optimal_boundaries(tops, counts, 4))
     assert op5.pack(docs.limit(0), F.lit(1)).count() == 0
     assert {r.length for r in op5.pack(docs, F.lit(None)).collect()} == {0}
 
 
-def test_long_lengths_share_cells(spark):
-    df = spark.createDataFrame([(i,) for i in (0, 1, 2047, 2048, 2049, 4095, 4096, 4097, 10**6, 10**6 + 1)], "length long")
-    tops, counts, totals = op5.histogram(df)
-    assert counts.sum() == 10 and totals.sum() == sum(r.length for r in df.collect()) and tops[-1] == 10**6 + 1 and len(tops) == 7
+def test_lengths_of_any_size_are_told_apart(spark):
+    r = random.Random(3)
+    lengths = [r.randrange(100) for _ in range(40)] + [r.randrange(10**6) for _ in range(30)] + [10**6, 10**6 + 1, 10**6 + 1]
+    tops, counts = op5.histogram(spark.createDataFrame([(i,) for i in lengths], "length long"))
+    assert tops.tolist() == sorted(set(lengths)) and counts.sum() == len(lengths)
+    # plain programme over all prefixes
+    best = {0: 0}
+    for _ in range(5):
+        best = {j: min(best[i] + sum((tops[j - 1] - tops[m]) * counts[m] for m in range(i, j)) for i in best if i < j or j == 0 == i) if j else 0 for j in range(len(tops) + 1)}
+    assert padding(lengths, op5.optimal_boundaries(tops, counts, 5)) == best[len(tops)]
+
+
+def test_batches_hold_their_documents(spark, tmp_path):
+    X.documents(spark, X.texts(120, 2)).write.parquet(str(tmp_path / "documents.parquet"))
+    assert op5.op5_packing(spark, str(tmp_path)).count() == 120
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    packed = op5.pack(docs, F.length("text"), budget=3000)
+    got = op5.batches(packed, "doc_id", "text").collect()
+    assert sorted(x.doc_id for r in got for x in r.docs) == sorted(r.doc_id for r in docs.collect())
+    for r in got:
+        assert r.n_docs == len(r.docs) and sum(r.bucket_length - x.length for x in r.docs) == r.padding and (r.n_docs == 1 or r.n_docs * r.bucket_length <= 3000)
+        assert all(len(x.text or "") == x.length for x in r.docs)
 
 
 def test_mixing_matches_sql(spark, tmp_path):
@@ -174,6 +192,19 @@ def test_mixing_edge_cases(spark):
     assert op6.mix(docs.limit(0)).count() == 0
 
 
+def test_many_sources_and_copies_in_slot_order(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(None if i % 7 == 0 else i % 50, " ".join("w" * (1 + k % 3) for k in range(r.randrange(0, 400))), f"s{int(r.paretovariate(0.6)) % 300}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = against_sql(spark, tmp_path, op6.SQL, op6.op6_mixing, "documents", docs)
+    taken = {}
+    out = op6.copies(docs).orderBy("slot").collect()
+    for x in out:
+        assert 0 < x.words <= x["size"] and 0 <= x["copy"] < 3
+        taken[x.row.doc_id, x.row.text] = taken.get((x.row.doc_id, x.row.text), 0) + x.words
+    assert sum(taken.values()) == got.taken.sum() and (got.first_slot >= 0).sum() == (got.taken > 0).sum()
+
+
 TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé\nlo"), (1, 2, "bob", "hé\nlo"), (1, None, None, None), (2, 300, "ann", "x"), (2, 5, "ann", "y"), (None, 1, "zed", "z"), (3, 0, "system", "alone")]
 
 
