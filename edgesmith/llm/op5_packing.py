@@ -21,7 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import materialise, table
+from .op4_tokens import token_counts
 from .ranks import running_start, shuffle_key, slice_of, slices_for
 
 BUCKETS = 16
@@ -105,6 +106,8 @@ def batches(packed: DataFrame, *columns: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are token counts of whole texts."""
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("words"), shuffle_key(F.col("doc_id"), F.col("text")).alias("key"))
-    return pack(sized, F.col("words"), F.col("key")).select("row.doc_id", "length", "bucket", "bucket_length", "batch", "slot", "padding")
+    keyed = docs.select("doc_id", "text", shuffle_key(F.col("doc_id"), F.col("text")).alias("key"))
+    sized = token_counts(keyed, keep=["doc_id", "key"]).select("row.doc_id", "n_tokens", "row.key")
+    return pack(sized, F.col("n_tokens"), F.col("key")).select("row.doc_id", "length", "bucket", "bucket_length", "batch", "slot", "padding")

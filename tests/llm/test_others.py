@@ -1,4 +1,6 @@
+import functools
 import itertools
+import math
 import random
 
 import duckdb
@@ -57,7 +59,7 @@ def slow_tokens(word, pieces):
     best = [(0.0, 0)] + [None] * len(text)
     for end in range(1, len(text) + 1):
         options = []
-        for start in range(end):
+        for start in range(max(0, end - 32), end):
             s, c = best[start]
             if text[start:end] in pieces:
                 options.append((s + pieces[text[start:end]], -(c + 1)))
@@ -79,6 +81,23 @@ def test_trie_counts_match_plain_viterbi():
     assert trie.tokens("a" * 50_000) > 1000
 
 
+def test_words_scored_together_match_plain_viterbi():
+    every = ["".join(w) for k in range(1, 6) for w in itertools.product("abé東▁", repeat=k)] + ["ab" * 300, "é" * 48, "a" * 47]
+    got = op4.Forward(PIECES).counts([w.encode() for w in every])
+    assert got.tolist() == [slow_tokens(w, PIECES) for w in every]
+    assert op4.Forward({}).counts([b"ab", "é".encode()]).tolist() == [5, 5]
+
+
+def test_real_vocabulary_matches_plain_viterbi(spark, tmp_path):
+    """The query over a table against each word on its own."""
+    pieces = op4.vocabulary()
+    assert abs(sum(math.exp(x) for x in pieces.values()) - 1) < 1e-9
+    X.documents(spark, X.texts(64, 5)).write.parquet(str(tmp_path / "documents.parquet"))
+    cost = functools.cache(lambda w: slow_tokens(w, pieces))
+    want = {r.doc_id: sum(cost(w) for w in X.words(r.text)) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    assert {r.doc_id: r.n_tokens for r in op4.op4_tokens(spark, str(tmp_path)).collect()} == want
+
+
 def test_token_counts(spark):
     docs = X.documents(spark).withColumn("n_tokens", F.lit("mine"))
     pieces = op4.vocabulary()
@@ -138,7 +157,12 @@ def test_lengths_of_any_size_are_told_apart(spark):
 
 def test_batches_hold_their_documents(spark, tmp_path):
     X.documents(spark, X.texts(120, 2)).write.parquet(str(tmp_path / "documents.parquet"))
-    assert op5.op5_packing(spark, str(tmp_path)).count() == 120
+    trie = op4.Trie(op4.vocabulary())
+    rows = {r.doc_id: sum(trie.tokens(w) for w in X.words(r.text)) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    query = op5.op5_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.length for r in query} == rows
+    tops, counts = np.unique(list(rows.values()), return_counts=True)
+    assert sum(r.padding for r in query) == padding(rows.values(), op5.optimal_boundaries(tops, counts, op5.BUCKETS))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     packed = op5.pack(docs, F.length("text"), budget=3000)
     got = op5.batches(packed, "doc_id", "text").collect()
