@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import discard, materialise, table, text_bytes
+from .common import by_pack, discard, materialise, table, text_bytes
 from .components import components
 from .packs import MESSAGE, Digits, messages, spread, squeeze
 
@@ -217,7 +217,7 @@ def _partner_sets(docs: DataFrame, id_col: str, text_col: str, percent: int, wid
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(n_packs)).alias("g"), "id", "text", F.xxhash64("text").alias("text_hash"))
-    packs = rows.groupBy("g")
+    packs = by_pack(rows, n_packs).groupBy("g")
 
     def sets_of(rows: pa.Table) -> list[np.ndarray]:
         return list(kernels.shingle_sets(rows.column("text"), width))
@@ -259,7 +259,7 @@ def _postings(nodes: DataFrame, n_tokens: int, percent: int) -> DataFrame:
     marks the shortest prefix, of which partners share one."""
     n_packs = max(1, math.ceil(8 * n_tokens / (2 * PACK_BYTES)))
     n_buckets = n_packs
-    packs = nodes.select(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(n_packs)).alias("g"), "node", "tokens").groupBy("g")
+    packs = by_pack(nodes.select(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(n_packs)).alias("g"), "node", "tokens"), n_packs).groupBy("g")
 
     def tokens_of(rows: pa.Table) -> list[np.ndarray]:
         return [np.frombuffer(t, "<u8").astype(U) for t in rows.column("tokens").to_pylist()]

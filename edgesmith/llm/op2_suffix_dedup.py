@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import table, text_bytes
+from .common import by_pack, table, text_bytes
 from .packs import MESSAGE, Digits, messages, spread, squeeze
 
 THRESHOLD = 50
@@ -266,7 +266,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
         F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("carry"),
     )
-    packs = rows.groupBy("g")
+    packs = by_pack(rows, n_packs).groupBy("g")
 
     def first_digits(rows: pa.Table) -> pa.Table:
         """Distinct digits of a pack, to their buckets, each with the number of its surroundings here."""
