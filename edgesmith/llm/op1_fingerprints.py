@@ -83,6 +83,9 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = 5
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles_estimate double, containment_in_edited double"
 
 
+_DEALT = "pid int, ord int, doc_id long, z binary"
+
+
 def _bounds(docs: DataFrame, n: int) -> tuple[list[int], int | None, bool]:
     """At most n - 1 ids that cut the table into even ranges, the smallest id, and whether an id is null."""
     cuts = [i / n for i in range(1, n)] or [0.5]
@@ -102,7 +105,7 @@ def edited_likeness(docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds, low, null = _bounds(docs, 4 * partitions(docs.sparkSession))
     cuts, last = np.array(bounds, np.int64), len(bounds)
-    lead = None if null else low  # the first document of all, which follows the last
+    first = F.col("doc_id").isNull() if null else F.col("doc_id") == F.lit(low)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3)
@@ -114,8 +117,6 @@ def edited_likeness(docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
                 homes = [(pid, 0)]
                 if pid and doc_id == cuts[pid - 1]:
                     homes.append((pid - 1, 1))
-                if doc_id == lead:
-                    homes.append((last, 2))
                 for p, o in homes:
                     for c, v in zip(out.values(), (p, o, doc_id, z), strict=True):
                         c.append(v)
@@ -156,11 +157,11 @@ def edited_likeness(docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
         ]
         yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _SCHEMA.split(", ")])
 
-    # a null first document is unique to the table only as a group: send the last range a copy of it
-    dealt = docs.mapInArrow(deal, "pid int, ord int, doc_id long, z binary")
-    if null:
-        first = docs.where(F.col("doc_id").isNull()).orderBy("text").limit(1).mapInArrow(deal, "pid int, ord int, doc_id long, z binary")
-        dealt = dealt.unionByName(first.select(F.lit(last).alias("pid"), F.lit(2).alias("ord"), "doc_id", "z"))
+    dealt = docs.mapInArrow(deal, _DEALT)
+    if low is not None or null:
+        # the first document of all follows the last: of those with the least id, the one that the walk meets first
+        lead = docs.where(first).mapInArrow(deal, _DEALT).where("ord = 0").orderBy("z").limit(1)
+        dealt = dealt.unionByName(lead.select(F.lit(last).alias("pid"), F.lit(2).alias("ord"), "doc_id", "z"))
     n = partitions(docs.sparkSession)
     return dealt.repartition(n, "pid").sortWithinPartitions("pid", "ord", "doc_id", "z").mapInArrow(walk, _SCHEMA)
 

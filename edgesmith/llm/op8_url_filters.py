@@ -7,8 +7,9 @@ prefix of its path by parts and with its whole path and query, and its url, and
 equality on the key, and the interval around the day; at most one entry a list and pattern).
 
 Each distinct (url, day) is judged once and the verdict joined back, so repeated captures of one page
-don't multiply. Keys of a hot host meet only that host's few intervals; adaptive execution may split
-them, since the join needs no order.
+don't multiply. Most keys are in no list, and some (a domain ending) are those of a third of all captures.
+Up to ``BROADCAST`` intervals, counted, every task has them all, and no key is shuffled. Beyond, keys are
+dealt by (key, salt), and each interval goes to every salt.
 
 Defined results: a null or unparsable url, or a null day, matches nothing. Null patterns, days or lists
 are no entries. Repeated entries count once. With no entries all captures pass. The input's columns come back
@@ -20,7 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
+
+#: Most intervals (some hundred bytes each) that are broadcast, and the salts of a key beyond.
+BROADCAST, SALTS = 200_000, 32
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -50,13 +54,22 @@ def lookup_keys(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths, F.array(text))))
 
 
-def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
+def _meeting(looked: DataFrame, held: DataFrame, most: int) -> DataFrame:
+    """looked (url, day, pattern) joined with the intervals of its patterns."""
+    held = materialise(held)
+    if held.count() <= most:
+        return looked.join(F.broadcast(held), "pattern")
+    salted = looked.withColumn("salt", F.pmod(F.xxhash64("url", "day"), F.lit(SALTS)))
+    return salted.join(held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["pattern", "salt"])
+
+
+def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched", broadcast: int = BROADCAST) -> DataFrame:
     """row, host, n_active (entries), lists (names, ascending, comma between), pattern (the longest, then
     first) and blocked, for every capture."""
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in captures.columns))
     c = captures.select(row.alias("row"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{day}`").cast("date").alias("day"))
     looked = c.select("url", "day").distinct().select("url", "day", F.explode(lookup_keys(F.col("url"))).alias("pattern"))
-    active = looked.join(intervals(entries), "pattern").where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    active = _meeting(looked, intervals(entries), broadcast).where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     found = active.groupBy("url", "day").agg(
         F.count(F.lit(1)).alias("n_active"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),
         F.min(F.struct(-F.length("pattern"), F.col("pattern").alias("p")))["p"].alias("pattern"),

@@ -3,8 +3,8 @@
 A page is read as tokens: its tags, each told apart by its path of tag names and classes from the root (its
 role), and the text of its slots, told apart by path and words. Over the pages of one host, tokens with
 the same occurrence vector (how often each occurs on every page) form an equivalence class. Vectors are
-compared by a checksum that adds up page by page, so hosts of any size are summed in partial aggregates
-and no task holds a host.
+compared by checksums that add up page by page (two sums, so that repeated pages count and don't cancel), so
+hosts of any size are summed in partial aggregates and no task holds a host.
 
 A class is valid for the template if it has at least ``support`` pages and ``TOKENS`` tokens; classes nest as their paths do: the root class holds the
 tokens that stand once on every page, and a class whose paths extend those of another stands in one of its
@@ -302,7 +302,7 @@ def _classes(tokens: DataFrame, support: int) -> DataFrame:
     """host, n_pages, n_total, vector (checksum), class_size and members: a row a class on ``support`` pages. A
     member is on every page of its class, so a row is at most one page's tokens."""
     slot = F.col("slot") if "slot" in tokens.columns else F.lit(None).cast("long")
-    vectors = tokens.groupBy("host", "token", "kind").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_total"), F.bit_xor("mark").alias("vector"), F.min(slot).alias("slot"), F.max(slot).alias("last"))
+    vectors = tokens.groupBy("host", "token", "kind").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_total"), F.struct(F.sum(F.col("mark").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned("mark", 32)).alias("high")).alias("vector"), F.min(slot).alias("slot"), F.max(slot).alias("last"))
     vectors = vectors.where(F.col("n_pages") >= support)
     member = F.struct("token", "kind", F.when(F.col("slot") == F.col("last"), F.col("slot")).alias("slot"))  # words that move fill no slot
     return vectors.groupBy("host", "n_pages", "n_total", "vector").agg(F.count(F.lit(1)).alias("class_size"), F.collect_list(member).alias("members"))

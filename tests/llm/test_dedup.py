@@ -164,6 +164,33 @@ def test_fingerprints_match_brute_force(spark):
         assert got[i].n_shingles_estimate == len(X.shingles(t))
 
 
+def test_query_keeps_the_smallest_hashes(spark, tmp_path):
+    """The registered query, with its own size: sketches and likeness from each shingle hashed on its own."""
+    docs = X.documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted((i, t or "") for i, t in pairs_of(docs))
+    k, memo = op1.K, {}
+
+    def sketch(text):
+        mine = X.shingles(text)
+        for s in mine - set(memo):
+            memo[s] = int(next(iter(kernels.shingle_sets(pa.array([" ".join(s)]))))[0])
+        return sorted(memo[s] for s in mine)[:k]
+
+    def like(a, b):
+        union = sorted({*a, *b})[:k]
+        return len({*a} & {*b} & {*union}) / len(union) if union else 1.0
+
+    got = {r.doc_id: r for r in op1.op1_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and any(len(X.shingles(t)) > k for _, t in rows)
+    for n, (i, t) in enumerate(rows):
+        after = rows[(n + 1) % len(rows)][1]
+        q = len(t) // 4
+        a, e, b = sketch(t), sketch(t[: len(t) - q] + after[:q]), sketch(after)
+        assert op1.decode(got[i].fingerprint).tolist() == a and op1.decode(got[i].edited_fingerprint).tolist() == e
+        assert got[i].near_edited == pytest.approx(like(a, e)) and got[i].near_next == pytest.approx(like(a, b))
+
+
 def test_sketches_merge_and_estimate():
     long = " ".join(f"w{i}" for i in range(6000))
     part = " ".join(f"w{i}" for i in range(3000))
