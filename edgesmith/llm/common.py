@@ -63,9 +63,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_pack(rows: DataFrame, n_packs: int) -> DataFrame:
-    """rows dealt by their pack ``g`` over as many partitions as hold a few packs each, so that tasks don't grow with the input."""
-    return rows.repartition(max(partitions(rows.sparkSession), min(-(-n_packs // 2), 100_000)), "g")
+def by_pack(rows: DataFrame, n_packs: int, key: str = "g") -> DataFrame:
+    """rows dealt by their pack (or bucket) over as many partitions as hold a few each, so that tasks don't grow with the input."""
+    return rows.repartition(max(partitions(rows.sparkSession), min(-(-n_packs // 2), 100_000)), key)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

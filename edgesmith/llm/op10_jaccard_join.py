@@ -250,7 +250,7 @@ def _partner_sets(docs: DataFrame, id_col: str, text_col: str, percent: int, wid
         kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         return pa.table([rows.column("id"), rows.column("text_hash"), *(pa.array(c, t) for c, t in zip((n, out_key, out_bands, out_tokens), kinds, strict=True))], ["id", "text_hash", "n", "key", "bands", "tokens"])
 
-    hits = packs.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(lambda rows: codes.repeated(rows), MESSAGE)
+    hits = by_pack(packs.applyInArrow(ask, MESSAGE), codes.n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: codes.repeated(rows), MESSAGE)
     return packs.cogroup(hits.groupBy("g")).applyInArrow(answer, _FOUND)
 
 
@@ -305,7 +305,7 @@ def _postings(nodes: DataFrame, n_tokens: int, percent: int) -> DataFrame:
         empty = np.zeros(0, np.int64)
         return pa.table([np.concatenate([empty, *out_t]), np.concatenate([empty, *out_n]), np.concatenate([np.zeros(0, bool), *out_h])], ["token", "node", "head"])
 
-    told = packs.applyInArrow(tell, MESSAGE).groupBy("bucket").applyInArrow(add, MESSAGE)
+    told = by_pack(packs.applyInArrow(tell, MESSAGE), n_buckets, "bucket").groupBy("bucket").applyInArrow(add, MESSAGE)
     return packs.cogroup(told.groupBy("g")).applyInArrow(choose, "token long, node long, head boolean")
 
 

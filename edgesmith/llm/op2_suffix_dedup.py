@@ -448,9 +448,9 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table([pack.rows.column("id"), *cols, pack.rows.column("carry")], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", "carry"])
 
     digits = packs.applyInArrow(first_digits, MESSAGE)
-    hits = digits.groupBy("bucket").applyInArrow(repeated, MESSAGE)
+    hits = by_pack(digits, n_buckets, "bucket").groupBy("bucket").applyInArrow(repeated, MESSAGE)
     found = packs.cogroup(hits.groupBy("g")).applyInArrow(suffixes, MESSAGE)
-    spans = found.groupBy("bucket").applyInArrow(groups, MESSAGE)
+    spans = by_pack(found, 2 * n_buckets, "bucket").groupBy("bucket").applyInArrow(groups, MESSAGE)
     return packs.cogroup(spans.groupBy("g")).applyInArrow(cut, result)
 
 

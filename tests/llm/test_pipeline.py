@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from edgesmith.llm import op4_tokens as op4
 from edgesmith.llm.common import materialise
 
 from . import fixtures as X
 
 
 def test_stages(spark, tmp_path):
-    docs = X.documents(spark, X.texts(160, 12)).withColumn("id", F.lit("mine"))
+    docs = X.documents(spark, X.texts(160, 12)).withColumns({"id": F.lit("mine"), "a.b": F.lit(1), "row": F.lit("r"), "size": F.lit(2), "words": F.lit(3), "key": F.lit(4)})
     names = docs.columns
     before = docs.collect()
     kept = materialise(P.quality(spark, docs, ""))
@@ -37,6 +38,9 @@ def test_stages(spark, tmp_path):
     assert sum(total.values()) == pytest.approx(sum(size.values()), abs=len({r.source for r in cut.collect()}))
     packed = P.packing(spark, mixed, "").collect()
     assert sorted(r.doc_id for r in packed) == sorted(r.doc_id for r in mixed.collect())
+    trie = op4.Trie(op4.vocabulary())
+    assert all(r.length == sum(trie.tokens(w) for w in X.words(r.text)) <= r.bucket_length for r in packed)
+    assert mixed.select("`a.b`", "row", "size", "words", "key").distinct().collect() == [(1, "r", 2, 3, 4)]
 
 
 def test_repeated_rows_and_empty_tables(spark):
