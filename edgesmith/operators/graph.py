@@ -71,6 +71,17 @@ def cross_side(u: Column, v: Column) -> Column:
     return F.pmod(u, F.lit(2)) != F.pmod(v, F.lit(2))
 
 
+def cross_letter(u: Column, v: Column) -> Column:
+    """Whether names begin with different letters, as ids of two sides do that carry their side in front."""
+    return F.substring(u.cast("string"), 1, 1) != F.substring(v.cast("string"), 1, 1)
+
+
+def overview(graph: Graph) -> str:
+    """One line on a graph."""
+    row = graph.totals().first()
+    return f"{row['n']} nodes, {row['m']} edges, {row['edges_per_node']:.2f} edges a node"
+
+
 def degree_bins(degree: DataFrame, bins: int = 25) -> DataFrame:
     """(node, deg, bin): the last of ``bins`` log-spaced edges, from 1 to the power of ten below the largest
     degree, that the degree reaches. With one power only, all edges are 1 and every node is in the last bin."""

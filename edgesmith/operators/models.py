@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgesmith.functions.lineage import cut, row_numbers
@@ -153,33 +153,39 @@ def union_best(parts: list[DataFrame], k: int) -> DataFrame:
     return out.groupBy("u", "v").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "u", "v").limit(k)
 
 
-def bag(graph: Graph, bags: int, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """(bag, u, v): each bag's edges among a share of the nodes, drawn by digest with their neighbourhoods."""
-    adj = graph.adj
-    bar = f"{int(share * 0xFFFFFFF):07x}"
-    numbers = F.sequence(F.lit(0), F.lit(bags - 1))
-    seeds = graph.all_nodes().select("node", F.explode(numbers).alias("bag")).where(F.substring(digest(seed, "bag", "node"), 1, 7) < bar)
-    around = seeds.join(adj.withColumnRenamed("src", "node"), "node").select("bag", F.col("dst").alias("node"))
-    members = cut(seeds.select("bag", "node").unionByName(around).distinct())
+def in_bags(graph: Graph, members: DataFrame) -> DataFrame:
+    """(bag, u, v): the edges among the members (bag, node) of each bag."""
     e = graph.edges.select("u", "v").join(members.withColumnRenamed("node", "u"), "u").join(members.withColumnRenamed("node", "v"), ["bag", "v"])
     return e.select("bag", "u", "v")
 
 
+def filter_bags(edges: DataFrame, rho: float = 0.75) -> DataFrame:
+    """(bag, u, v): of each bag the int(m * rho) edges with the largest least-end degree inside the bag, ties by (u, v)."""
+    ends = edges.select("bag", F.explode(F.array("u", "v")).alias("node")).groupBy("bag", "node").agg(F.count(F.lit(1)).alias("deg"))
+    e = edges.join(ends.select("bag", F.col("node").alias("u"), F.col("deg").alias("du")), ["bag", "u"]).join(ends.select("bag", F.col("node").alias("v"), F.col("deg").alias("dv")), ["bag", "v"])
+    size = edges.groupBy("bag").agg(F.count(F.lit(1)).alias("m"))
+    rank = F.row_number().over(Window.partitionBy("bag").orderBy(F.desc(F.least("du", "dv")), "u", "v"))
+    return e.withColumn("r", rank).join(size, "bag").where(F.col("r") <= F.floor(F.col("m") * rho)).select("bag", "u", "v")
+
+
 def symmetric_nmf(edges: DataFrame, rank: int = 8, iterations: int = 50, beta: float = 0.5, seed: int = 42) -> DataFrame:
     """(bag, node, c, f): non-negative F with F F' near each bag's adjacency; damped multiplicative steps, stopped
-    when the error grows. A bag is a bounded sample and is one task's work."""
+    when the error grows. A bag is one task's work, in memory proportional to its edges and its nodes times the rank:
+    neither the adjacency nor F F' is ever made."""
     import pandas as pd
 
     def factor(key, pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([pdf.u, pdf.v]))
         i, j = np.searchsorted(nodes, pdf.u), np.searchsorted(nodes, pdf.v)
-        w = np.zeros((len(nodes), len(nodes)))
-        w[i, j] = w[j, i] = 1.0
+        rows, columns = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.argsort(rows, kind="stable")
+        rows, columns = rows[order], columns[order]
+        first = np.searchsorted(rows, np.arange(len(nodes)))  # every node has an edge
         f = np.random.default_rng(seed + int(key[0])).random((len(nodes), rank))
         error = np.inf
         for _ in range(iterations):
-            new = f * (1 - beta + beta * (w @ f) / np.maximum(f @ (f.T @ f), 1e-12))
-            now = np.linalg.norm(w - new @ new.T)
+            new = f * (1 - beta + beta * np.add.reduceat(f[columns], first) / np.maximum(f @ (f.T @ f), 1e-12))
+            now = len(rows) - 2 * float((new[rows] * new[columns]).sum()) + float(((new.T @ new) ** 2).sum())  # squared Frobenius
             if now > error:
                 break
             f, error = new, now
@@ -189,10 +195,30 @@ def symmetric_nmf(edges: DataFrame, rank: int = 8, iterations: int = 50, beta: f
     return edges.groupBy("bag").applyInPandas(factor, "bag long, node long, c long, f double")
 
 
-def nmf_ensemble(graph: Graph, k: int, bags: int = 4, share: float = 0.1, rank: int = 8, epsilon: float = 1.0, seed: int = 42) -> DataFrame:
-    """(u, v, score): best pairs over all bags' factors, without edges."""
-    factors = cut(symmetric_nmf(bag(graph, bags, share, seed), rank, seed=seed))
-    keyed = factors.select("node", (F.col("bag") * rank + F.col("c")).alias("c"), "f", "bag")
+def factor_error(edges: DataFrame, factors: DataFrame) -> DataFrame:
+    """(bag, error): the Frobenius norm of each bag's adjacency less F F', by joins: |W|^2 - 2 <W, F F'> + |F'F|^2."""
+    x, y = (factors.select("bag", F.col("node").alias(c), "c", F.col("f").alias(f"f{c}")) for c in ("u", "v"))
+    inner = edges.join(x, ["bag", "u"]).join(y, ["bag", "v", "c"]).groupBy("bag").agg(F.sum(2 * F.col("fu") * F.col("fv")).alias("inner"))
+    size = edges.groupBy("bag").agg((2 * F.count(F.lit(1))).alias("w"))
+    a, b = factors.select("bag", "node", F.col("c").alias("c1"), F.col("f").alias("f1")), factors.select("bag", "node", F.col("c").alias("c2"), F.col("f").alias("f2"))
+    gram = a.join(b, ["bag", "node"]).groupBy("bag", "c1", "c2").agg(F.sum(F.col("f1") * F.col("f2")).alias("g")).groupBy("bag").agg(F.sum(F.col("g") * F.col("g")).alias("gram"))
+    square = F.col("w") - 2 * F.coalesce("inner", F.lit(0.0)) + F.coalesce("gram", F.lit(0.0))
+    return size.join(inner, "bag", "left").join(gram, "bag", "left").select("bag", F.round(F.sqrt(F.greatest(square, F.lit(0.0))), 9).alias("error"))
+
+
+def sorted_columns(factors: DataFrame, by: tuple[str, ...] = ("c",)) -> DataFrame:
+    """factors with ``rk``: each column in descending order, cut where the zeros begin."""
+    return factors.where("f > 0").withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f"), "node")))
+
+
+def nmf_ensemble(graph: Graph, k: int, bags: int = 4, share: float = 0.1, rank: int = 8, epsilon: float = 1.0, seed: int = 42, mode: str = "nodes", rho: float | None = 0.75) -> DataFrame:
+    """(u, v, score): best pairs over all bags' factors, without edges. ``mode`` says how bags grow (nodes, edges or
+    biased edges); ``rho`` is the share of a bag's edges that are factored."""
+    from edgesmith.operators import sampling
+
+    edges = in_bags(graph, cut(sampling.bags(graph, bags, share, seed, mode)))
+    factors = cut(symmetric_nmf(edges if rho is None else filter_bags(edges, rho), rank, seed=seed))
+    keyed = sorted_columns(factors, ("bag", "c")).select("node", (F.col("bag") * rank + F.col("c")).alias("c"), "f", "bag")
     bar = epsilon / rank
     a, b = keyed.select(F.col("node").alias("u"), "c", "bag", F.col("f").alias("x")), keyed.select(F.col("node").alias("v"), "c", F.col("f").alias("y"))
     terms = a.join(b, "c").where((F.col("u") < F.col("v")) & (F.col("x") * F.col("y") >= bar))
@@ -200,6 +226,32 @@ def nmf_ensemble(graph: Graph, k: int, bags: int = 4, share: float = 0.1, rank:
     return union_best([scored.select("u", "v", "score")], k)
 
 
+def recommend(users: DataFrame, items: DataFrame, n: int = 10, known: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
+    """(user, item, score, rk): for each user (id, vec) the n items of the largest product, without the ``known``
+    (user, item). Users meet items block by block, and each block keeps n a user before the last ranking."""
+    from edgesmith.functions.portable import dot
+    from edgesmith.operators.knn import blocks_for
+
+    blocks = blocks_for(items.count()) if blocks is None else blocks
+    side = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
+    u = users.select(F.col("id").alias("user"), F.col("vec").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    scored = u.join(items.select(F.col("id").alias("item"), F.col("vec").alias("y")).withColumn("b", side), "b").select("b", "user", "item", F.round(dot(F.col("x"), F.col("y")), 9).alias("score"))
+    scored = scored if known is None else scored.join(known.select("user", "item"), ["user", "item"], "left_anti")
+    best = lambda d, *by: d.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "item"))).where(F.col("rk") <= n)
+    return best(best(scored, "user", "b").drop("rk", "b"), "user")
+
+
+def save_links(model: LogisticRegressionModel, emb: DataFrame, path: str, accuracy: float = 0.0) -> None:
+    """A fitted link classifier, the vectors it reads and its accuracy, in a folder."""
+    model.write().overwrite().save(f"{path}/model")
+    emb.write.mode("overwrite").parquet(f"{path}/vectors")
+    emb.sparkSession.createDataFrame([(accuracy,)], "accuracy double").write.mode("overwrite").json(f"{path}/accuracy")
+
+
+def load_links(spark, path: str) -> tuple[LogisticRegressionModel, DataFrame, float]:
+    return LogisticRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vectors"), spark.read.schema("accuracy double").json(f"{path}/accuracy").first()[0]
+
+
 def hits(graph: Graph, rounds: int = 10) -> DataFrame:
     """(node, authority) of the symmetric graph: power iteration, scaled to sum 1 each round."""
     adj = cut(graph.adj)
@@ -230,11 +282,10 @@ def walk_counts(scaled: DataFrame, most: int = 32, least: int = 1) -> DataFrame:
     return scaled.select("node", F.greatest(F.ceil(F.round(F.col("x") * most, 6)), F.lit(least)).cast("long").alias("walks"))
 
 
-def walk_corpus(graph: Graph, starts: DataFrame, steps: int, stop: float = 0.15, seed: int = 42) -> DataFrame:
-    """(node, walk, pos, at): walks over two hops, so on one side of a two-sided graph; after each step a walk ends
-    with probability ``stop``. Neighbours are drawn by digest among ascending ids."""
-    from pyspark.sql import Window
-
+def walk_corpus(graph: Graph, starts: DataFrame, steps: int, stop: float = 0.15, seed: int = 42, hops: int = 2, restart: float = 0.0) -> DataFrame:
+    """(node, walk, pos, at): walks of two hops a step, so on one side of a two-sided graph, or of one; before each step
+    a walk ends with probability ``stop``, and in its place it is put back with probability ``restart``. Neighbours are
+    drawn by digest among ascending ids."""
     adj = graph.adj.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).join(graph.degree.select(F.col("node").alias("src"), "deg"), "src")
     adj = cut(adj.select("src", "dst", "deg", "i"))
     now = cut(starts.select("node", F.explode(F.sequence(F.lit(1), F.col("walks").cast("int"))).alias("walk")).select("node", "walk", F.col("node").alias("at")))
@@ -243,8 +294,10 @@ def walk_corpus(graph: Graph, starts: DataFrame, steps: int, stop: float = 0.15,
     draw = lambda s, what: F.conv(F.substring(digest(seed, "node", "walk", F.lit(s), F.lit(what)), 1, 7), 16, 10).cast("long")
     for s in range(1, steps + 1):
         going = now.where(draw(s, "stop") >= bar)
-        for half in ("one", "two"):
+        for half in ("one", "two")[:hops]:
             going = going.join(adj, going["at"] == adj["src"]).where(F.col("i") == F.pmod(draw(s, half), F.col("deg"))).select("node", "walk", F.col("dst").alias("at"))
+        if restart:
+            going = going.withColumn("at", F.when(draw(s, "restart") < int(restart * (1 << 28)), F.col("node")).otherwise(F.col("at")))
         now = cut(going)
         out = out.unionByName(now.select("node", "walk", F.lit(s).alias("pos"), "at"))
     return out
@@ -252,8 +305,6 @@ def walk_corpus(graph: Graph, starts: DataFrame, steps: int, stop: float = 0.15,
 
 def context_windows(walks: DataFrame, reach: int = 5) -> DataFrame:
     """(node, walk, pos, at, context): the walk's nodes at most ``reach`` places away, without the node itself."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("node", "walk").orderBy("pos").rowsBetween(-reach, reach)
     near = F.collect_list("at").over(w)
     return walks.withColumn("context", F.filter(near, lambda x: x != F.col("at")))

@@ -48,6 +48,29 @@ def train_graph(split: DataFrame) -> DataFrame:
     return split.where("part <> 'test'").select("u", "v")
 
 
+def touching(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs both of whose ends have an edge: the others name nodes that a selector can't see."""
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    for end in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    return pairs.select("u", "v")
+
+
+def overlap(split: DataFrame) -> DataFrame:
+    """(a, b, n): how many pairs, in either orientation, two parts of a split share; no row where they are disjoint."""
+    pairs = split.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "part").groupBy("u", "v").agg(F.sort_array(F.collect_set("part")).alias("parts")).where(F.size("parts") > 1)
+    met = pairs.select(F.posexplode("parts").alias("i", "a"), "parts")
+    met = met.select("a", F.explode(F.slice("parts", F.col("i") + 2, F.size("parts"))).alias("b"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def presplit(arrays: DataFrame, edges_of: str = "train") -> tuple[DataFrame, DataFrame]:
+    """(edges, hidden) of given parts (split, u, v): distinct pairs, the hidden without edges and without nodes that have none."""
+    edges = arrays.where(F.col("split") == edges_of).select("u", "v").distinct()
+    hidden = non_edges(arrays.where(F.col("split") != edges_of).select("u", "v").distinct(), edges)
+    return edges, touching(hidden, edges)
+
+
 def sample_nodes(nodes: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return nodes.select("node", digest(seed, "node").alias("key")).orderBy("key", "node").limit(k).select("node")
 

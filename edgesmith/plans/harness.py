@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from edgesmith.functions.lineage import cut
 from edgesmith.operators import graph as G
-from edgesmith.operators import grouped, knn, metrics, models, scores, search, splits, walkrank
+from edgesmith.operators import grouped, knn, lsh, metrics, models, scores, search, splits, walkrank
 from edgesmith.sources import files
 
 
@@ -89,17 +89,88 @@ class Grouped(Selector):
 
 
 class Nearest(Selector):
-    """params: emb (id, vec), k, method (simple or descent), rounds, scorer."""
+    """params: emb (id, vec), k, method (simple or descent), rounds, scorer, random_share (of the first lists of
+    ``simple``; the rest are real neighbours). Scanned is what was scored, not what is emitted."""
 
     def select(self) -> DataFrame:
-        p = dict(self.params)
-        emb, method = p.pop("emb"), {"simple": knn.simple, "descent": knn.descent}[p.pop("method", "simple")]
-        pairs = G.canonical(method(emb, **p).select("u", "v"))
+        p, self.scored = dict(self.params), []
+        emb, name, share = p.pop("emb"), p.pop("method", "simple"), p.pop("random_share", 1.0)
+        method = {"simple": knn.simple, "descent": knn.descent}[name]
+        if name == "simple" and share < 1:
+            p |= {"real": int(round(p["k"] * (1 - share), 9)), "edges": self.graph.adj}
+        pairs = G.canonical(method(emb, scanned=self.scored, **p).select("u", "v"))
         return G.non_edges(pairs, self.graph.edges)
 
+    def n_scanned(self) -> int:
+        if self.found is None:
+            self.run()
+        return sum(self.scored)
+
+
+class GroupSearch(Selector):
+    """The whole grouped search behind one set of params.
+
+    k; method: groups, forest, common, jaccard, adamic_adar or ensemble; embedding: factor1, factor2, two_sided,
+    proximity (no vectors: Adamic-Adar pairs) or a table (id, vec); degree, structure and community: which groupings
+    make the cells; groups (25 of one grouping, 25 degree bins of several) and groups_alt (5); bailout (0: none);
+    tolerance: cells from that size on are searched by trees; epsilon (ensemble); dim; bipartite.
+    """
+
+    DEFAULTS = {
+        "method": "groups", "embedding": "factor2", "degree": True, "structure": True, "community": True, "groups": None, "groups_alt": None,
+        "bailout": 0.5, "tolerance": grouped.EXACT, "epsilon": 1.0, "dim": 128, "bipartite": False, "seed": 42,
+    }
+
+    def vectors(self, p: dict) -> DataFrame | None:
+        kind = p["embedding"]
+        if isinstance(kind, DataFrame):
+            return kind
+        if kind == "proximity":
+            return None
+        if kind in ("factor1", "factor2"):
+            return cut(models.factor_embedding(self.graph, p["dim"], int(kind[-1])))
+        if kind == "two_sided":
+            counts = models.walk_counts(models.side_scaled(models.degree_centrality(self.graph)))
+            return cut(models.skipgram_embedding(self.graph, models.walk_corpus(self.graph, counts, 4), dim=p["dim"])[0])
+        raise ValueError(f"no embedding {kind}")
+
+    def cells(self, p: dict, emb: DataFrame | None) -> DataFrame:
+        flags = [x for x in ("degree", "structure", "community") if p[x]]
+        if not flags:
+            raise ValueError("at least one of degree, structure and community makes the groups")
+        if p["community"] and emb is None:
+            raise ValueError("community groups need vectors")
+        several = len(flags) > 1
+        first, alt = p["groups"] or 25, p["groups_alt"] or (5 if several else p["groups"] or 25)
+        sizes = {x: (first if x == "degree" else alt) if p[x] else None for x in ("degree", "structure", "community")}
+        return cut(grouped.mixed_groups(self.graph, emb, **sizes, sides=several and p["bipartite"]))
+
+    def select(self) -> DataFrame:
+        p = self.DEFAULTS | self.params
+        k, method = p["k"], p["method"]
+        scored = {"common": "common", "jaccard": "jaccard", "adamic_adar": "adamic_adar"}
+        if method in scored:
+            out = scores.wedge_scores(self.graph)
+            out = out.where(G.cross_side(F.col("u"), F.col("v"))) if p["bipartite"] else out
+            return scores.top_pairs(out, scored[method], k).select("u", "v")
+        if method == "ensemble":
+            return models.nmf_ensemble(self.graph, k, epsilon=p["epsilon"], seed=p["seed"]).select("u", "v")
+        emb = self.vectors(p)
+        if method == "forest":
+            if emb is None:
+                raise ValueError("a forest needs vectors")
+            return lsh.forest_pairs(emb, k, dim=emb.select(F.size("vec")).first()[0], edges=self.graph.edges).select("u", "v")
+        if method != "groups":
+            raise ValueError(f"no method {method}")
+        groups = self.cells(p, emb)
+        pairs = None if emb is None else grouped.close_pairs(self.graph, groups, k, emb, p["tolerance"])
+        if pairs is not None and p["bipartite"]:
+            pairs = pairs.where(G.cross_side(F.col("u"), F.col("v")))
+        return grouped.select(self.graph, groups, k, pairs, p["bailout"] or None)
+
 
 class FactorEnsemble(Selector):
-    """params: k, bags, share, rank, epsilon."""
+    """params: k, bags, share, rank, epsilon, mode, rho."""
 
     def select(self) -> DataFrame:
         return models.nmf_ensemble(self.graph, **self.params).select("u", "v")
@@ -143,6 +214,28 @@ def multirun(spark: SparkSession, datasets: dict[str, DataFrame], selectors: dic
     return out, failures
 
 
+#: The budget of a graph by the power of ten of its edges.
+BUDGETS = ((100_000, 10_000), (1_000_000, 100_000), (10_000_000, 1_000_000), (None, 10_000_000))
+
+
+def budget_for(edges: int) -> int:
+    """How many pairs to select on a graph of so many edges."""
+    return next(k for bound, k in BUDGETS if bound is None or edges < bound)
+
+
+def experiment(spark: SparkSession, datasets: dict[str, DataFrame], methods: dict[str, dict], temporal: frozenset[str] = frozenset(), path: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Records of one grouped search a method (its params) and dataset, each with the budget of its size; datasets in
+    ``temporal`` are split by time."""
+    records, failures = None, []
+    for name, edges in datasets.items():
+        k = budget_for(edges.count())
+        made = {m: (lambda g, _, p=params: GroupSearch(g, **({"k": k} | p))) for m, params in methods.items()}
+        out, failed = multirun(spark, {name: edges}, made, (1,), path, name in temporal)
+        records = out if records is None else records.unionByName(out)
+        failures += failed
+    return records, failures
+
+
 def add_field(records: DataFrame, name: str, value: F.Column | str, inside: str | None = None) -> DataFrame:
     """Records with one more parameter (``inside='parameters'``), statistic or column."""
     value = F.lit(value) if not hasattr(value, "_jc") else value

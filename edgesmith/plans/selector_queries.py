@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgesmith.functions.lineage import cut
+from edgesmith.functions.lineage import cut, row_numbers
 from edgesmith.functions.portable import digest
 from edgesmith.operators import graph as G
 from edgesmith.operators import grouped, knn, lsh, metrics, models, scores, search, splits
@@ -34,13 +34,17 @@ gs AS (SELECT grp, count(*) AS c FROM grp GROUP BY grp),
 pc AS (SELECT *, n / (SELECT sum(n) FROM ec)::DOUBLE AS p FROM ec),
 cells AS (SELECT pc.g1, pc.g2, n, p, greatest(round_even(round(p * {K}, 9), 0)::BIGINT, 1) AS kappa, round_even(round(sqrt({K} * p * (1 - p)), 9), 0)::BIGINT AS sigma, (a.c * b.c)::BIGINT AS size
           FROM pc JOIN gs a ON a.grp = g1 JOIN gs b ON b.grp = g2)"""
-PLACED = """, ag AS (SELECT s.u, s.v, adamic_adar AS score, least(a.grp, b.grp) AS g1, greatest(a.grp, b.grp) AS g2 FROM s JOIN grp a ON a.node = s.u JOIN grp b ON b.node = s.v),
-pl AS (SELECT ag.*, kappa, sigma, row_number() OVER (PARTITION BY g1, g2 ORDER BY score DESC, u, v) AS r FROM ag JOIN cells USING (g1, g2))"""
+TURNS = """, tc AS (SELECT *, kappa - sigma >= size AS whole, row_number() OVER (ORDER BY p DESC, g1, g2) AS turn FROM cells),
+wh AS (SELECT DISTINCT least(a.node, b.node) AS u, greatest(a.node, b.node) AS v, turn FROM tc JOIN grp a ON a.grp = g1 JOIN grp b ON b.grp = g2 AND a.node <> b.node WHERE whole)"""
+PLACED = TURNS + """, ag AS (SELECT s.u, s.v, adamic_adar AS score, least(a.grp, b.grp) AS g1, greatest(a.grp, b.grp) AS g2 FROM s JOIN grp a ON a.node = s.u JOIN grp b ON b.node = s.v),
+pl AS (SELECT ag.*, kappa, sigma, turn, row_number() OVER (PARTITION BY g1, g2 ORDER BY score DESC, u, v) AS r FROM ag JOIN tc USING (g1, g2) WHERE NOT whole)"""
 
 
 def _filled(placed: str) -> str:
-    return f""", rk AS (SELECT u, v, score, CASE WHEN r <= kappa - sigma THEN -1 WHEN r < kappa + sigma THEN 0 ELSE 1 END AS pool FROM {placed} WHERE r <= kappa - sigma OR r <= kappa + 3 * sigma),
-out AS MATERIALIZED (SELECT u, v FROM rk ORDER BY pool, score DESC, u, v LIMIT {K})"""
+    return f""", rk AS (SELECT u, v, score, CASE WHEN r <= kappa - sigma THEN -1 WHEN r < kappa + sigma THEN 0 ELSE 1 END AS pool, CASE WHEN r <= kappa - sigma THEN turn ELSE 0 END AS turn
+                      FROM {placed} WHERE r <= kappa - sigma OR r <= kappa + 3 * sigma
+                      UNION ALL SELECT u, v, 'infinity'::DOUBLE, -1, turn FROM wh WHERE NOT EXISTS (SELECT 1 FROM gu WHERE gu.u = wh.u AND gu.v = wh.v)),
+out AS MATERIALIZED (SELECT u, v FROM rk ORDER BY pool, turn, score DESC, u, v LIMIT {K})"""
 
 
 @query(f"{GU}{BINS}, grp AS (SELECT * FROM dg){CELLS} SELECT g1, g2, n, round(p, 9) AS p, kappa, sigma, size FROM cells")
@@ -124,12 +128,13 @@ def knn_simple(spark, sf):
     return knn.simple(V.vectors(spark, sf), 5, 3, fixed=True)
 
 
-def _descent_sql(rounds: int) -> str:
+def _descent_sql(rounds: int, reverse: bool = False) -> str:
     sql, bar = START, f"{int(0.5 * 0xFFFFFFF):07x}"
     for i in range(1, rounds + 1):
         k = f"k{i - 1}"
         sql += f""", m{i} AS MATERIALIZED (SELECT *, fresh AND substr(md5(concat_ws('|', '42', v, u, {i - 1})), 1, 7) < '{bar}' AS drawn FROM {k}),
-j{i} AS (SELECT DISTINCT least(a.u, b.u) AS a, greatest(a.u, b.u) AS b FROM m{i} a JOIN m{i} b ON a.v = b.v WHERE a.drawn AND (b.drawn OR NOT b.fresh) AND a.u <> b.u AND (NOT b.drawn OR a.u < b.u)),
+mm{i} AS ({f"SELECT v, u, bool_or(drawn) AS drawn, bool_or(fresh) AS fresh FROM (SELECT v, u, drawn, fresh FROM m{i} UNION ALL SELECT u, v, drawn, fresh FROM m{i}) GROUP BY ALL" if reverse else f"SELECT * FROM m{i}"}),
+j{i} AS (SELECT DISTINCT least(a.u, b.u) AS a, greatest(a.u, b.u) AS b FROM mm{i} a JOIN mm{i} b ON a.v = b.v WHERE a.drawn AND (b.drawn OR NOT b.fresh) AND a.u <> b.u AND (NOT b.drawn OR a.u < b.u)),
 o{i} AS (SELECT a, b, {DOT.format(a='x.vec', b='y.vec')} AS score FROM j{i} JOIN ve x ON x.id = a JOIN ve y ON y.id = b),
 n{i} AS (SELECT a AS v, b AS u, score FROM o{i} UNION ALL SELECT b, a, score FROM o{i}),
 k{i} AS MATERIALIZED (SELECT * FROM (SELECT v, u, score, fresh AND NOT drawn AS fresh FROM m{i} UNION ALL SELECT v, u, score, true FROM n{i} WHERE NOT EXISTS (SELECT 1 FROM {k} z WHERE z.v = n{i}.v AND z.u = n{i}.u)) QUALIFY row_number() OVER (PARTITION BY v ORDER BY score DESC, u) <= 5)"""
@@ -141,6 +146,11 @@ def knn_descent(spark, sf):
     return knn.descent(V.vectors(spark, sf), 5, 3, fixed=True)
 
 
+@query(_descent_sql(2, True))
+def knn_descent_reverse(spark, sf):
+    return knn.descent(V.vectors(spark, sf), 5, 2, fixed=True, reverse=True)
+
+
 # the selectors with their own defaults and stopping rules, which SQL of a fixed length cannot say
 
 
@@ -449,5 +459,5 @@ def edge_text_parse(spark, sf):
 
 @query(f"{GU}, o AS (SELECT u, v, row_number() OVER (ORDER BY ts, u, v) AS rn, {SIZES} FROM gu) SELECT u, v, {PARTS} FROM o")
 def file_order_split(spark, sf):
-    rows = splits._row_numbers(V.part_graph(spark, sf).edges.select("u", "v", "ts"), "ts", "u", "v")
+    rows = row_numbers(V.part_graph(spark, sf).edges.select("u", "v", "ts"), "ts", "u", "v")
     return splits.file_order_split(rows)

@@ -61,8 +61,62 @@ def weighted_edges(spark: SparkSession, source: str | DataFrame) -> DataFrame:
 
 
 def split_arrays(arrays: DataFrame, both_ways: bool = False) -> DataFrame:
-    """Canonical (split, u, v) from pre-split (split, src, dst) rows."""
-    return arrays.where("src <> dst").select("split", F.least("src", "dst").cast("string").alias("u"), F.greatest("src", "dst").cast("string").alias("v")).distinct()
+    """Canonical (split, u, v) from pre-split (split, src, dst) rows; with ``both_ways`` both orientations of each."""
+    a = arrays.where("src <> dst").select("split", F.col("src").cast("string").alias("u"), F.col("dst").cast("string").alias("v"))
+    if both_ways:
+        return a.unionByName(a.select("split", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    return a.select("split", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def split_folders(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "valid", "test"), source: str = "src", target: str = "dst", both_ways: bool = False) -> DataFrame:
+    """(split, u, v) of a link-property set exported as one Parquet table a split, under any names of the two columns
+    (``source_node`` and ``target_node`` with ``both_ways`` for citation sets)."""
+    out = None
+    for name in splits:
+        part = spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("split"), F.col(f"`{source}`").alias("src"), F.col(f"`{target}`").alias("dst"))
+        out = part if out is None else out.unionByName(part)
+    return split_arrays(out, both_ways)
+
+
+def csv_edges(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """Canonical (u, v) of the first two columns of comma separated files, zipped (.gz) or not."""
+    rows = spark.read.csv(path, header=header)
+    u, v = (F.col(f"`{c}`").cast("string") for c in rows.columns[:2])
+    return canonical(rows.select(F.trim(u).alias("u"), F.trim(v).alias("v")))
+
+
+def train_and_test(spark: SparkSession, train: str | DataFrame, test: str | DataFrame, two_sided: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The edges of a pair of files; of two sides, as (src, dst, side_src, side_dst)."""
+    read = two_sided_edges if two_sided else edges
+    return read(spark, train), read(spark, test)
+
+
+def from_matrix(spark: SparkSession, matrix) -> DataFrame:
+    """Canonical (u, v) from an in-memory square matrix: a numpy array, or a sparse one that has ``tocoo``."""
+    import numpy as np
+
+    coo = matrix.tocoo() if hasattr(matrix, "tocoo") else None
+    rows, columns = (coo.row, coo.col) if coo is not None else np.nonzero(np.asarray(matrix))
+    return canonical(spark.createDataFrame([(int(a), int(b)) for a, b in zip(rows, columns, strict=True)], "u long, v long"))
+
+
+def from_neighbours(spark: SparkSession, neighbours: dict) -> DataFrame:
+    """Canonical (u, v) from an in-memory map of nodes to neighbours, or a graph object that has ``adjacency``."""
+    pairs = neighbours.adjacency() if hasattr(neighbours, "adjacency") else neighbours.items()
+    return canonical(spark.createDataFrame([(int(a), int(b)) for a, bs in pairs for b in bs], "u long, v long"))
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The vectors kept at ``path``, made and written first if there are none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    make().write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def adjacency_lists(spark: SparkSession, source: str | DataFrame) -> DataFrame:
@@ -134,6 +188,38 @@ def write_runs(records: DataFrame, path: str) -> None:
     run_lines(records).write.mode("append").text(path)
 
 
+def write_migrated(records: DataFrame, path: str) -> None:
+    """Records by dataset, method and h, one file, and a closing comment line; runs() skips the comment."""
+    lines = records.select(F.to_json(F.struct("date", "method", "dataset", "h", "statistics", "parameters")).alias("value"), F.lit(0).alias("last"), "dataset", "method", "h")
+    end = records.sparkSession.range(1).select(F.lit("#").alias("value"), F.lit(1).alias("last"), F.lit(None).cast("string").alias("dataset"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("int").alias("h"))
+    lines.unionByName(end).orderBy("last", "dataset", "method", "h").select("value").coalesce(1).write.mode("append").text(path)
+
+
+def write_figures(figures: dict[str, float], spark: SparkSession, path: str) -> None:
+    """One file a figure (num, R, P, frac, time), with one number each, at path_NAME."""
+    for name, value in figures.items():
+        write_lines(spark.createDataFrame([(str(value),)], "value string"), f"{path}_{name}")
+
+
+def homogeneous(rows: DataFrame) -> DataFrame:
+    """(row, column, value) of a two-sided (src, dst, weight) with sides numbered from 0: the second side's numbers
+    begin after the first's, and each edge stands in both directions."""
+    offset = rows.agg((F.max("src") + 1).alias("n"))
+    e = rows.join(F.broadcast(offset)).select(F.col("src").alias("row"), (F.col("dst") + F.col("n")).alias("column"), F.col("weight").alias("value"))
+    return e.unionByName(e.select(F.col("column").alias("row"), F.col("row").alias("column"), "value"))
+
+
+def feature_lines(rows: DataFrame) -> DataFrame:
+    """(value): both vectors and the label of pair_feature_rows, tab separated."""
+    numbers = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "\t")
+    return rows.select(F.concat_ws("\t", numbers("vec_u"), numbers("vec_v"), F.col("y").cast("string")).alias("value"))
+
+
+def write_ratings(rows: DataFrame, path: str) -> None:
+    """user, item and rating, tab separated, under their prefixed names."""
+    rows.select("user", "item", "rating").write.mode("overwrite").csv(path, sep="\t", header=False)
+
+
 def vector_lines(emb: DataFrame) -> DataFrame:
     """``node x1 ... xd`` lines, without a header."""
     return emb.select(F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("value"))
