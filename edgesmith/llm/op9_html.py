@@ -55,6 +55,7 @@ TOKENS = 2
 _RAW = "script|style|noscript|textarea|iframe|title"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:(?<=[\s\"']/>)|.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_PARTS = re.compile(r"[-_0-9]+|(?<=[a-z])(?=[A-Z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html head body address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br button label".split())
 _AWAY = frozenset("head nav header footer aside form menu button dialog label fieldset input template svg select annotation annotation-xml".split())
@@ -68,6 +69,8 @@ _AWAY_NAMES = _READERS | _ASIDES | frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars contentinfo "
     "cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter subscribe subscription signup login search form forms share sharing social widget widgets toolbar skip paywall".split()
 )
+#: A paragraph's own warning, not a notice of the site.
+_TEXTS, _CALLOUTS = frozenset("p li td th blockquote span strong em".split()), frozenset("notice notices alert alerts".split())
 #: Classes of article elements that are not the page's article.
 _TEASERS = frozenset("teaser teasers related recommended promo promos promotion sponsored sponsor advert advertisement ad ads reply".split())
 #: First and last parts of class names that say what a page has or is filed under, and classes of whole pages.
@@ -119,11 +122,12 @@ class _Open(NamedTuple):
 
 def _named_away(names: list[tuple[str, str]], article: bool, away: frozenset[str] = _AWAY_NAMES) -> tuple[str, bool] | None:
     """The class, id or role that tells an element from the article, and whether it is that name as a whole. Of a
-    name in parts the first and the last count; for readers' comments, all."""
+    name in parts (by hyphens, digits or capitals) the first and the last count; for readers' comments, all."""
     found = None
-    whole = {w.lower() for _, value in names for w in value.split()}
-    for word in sorted(whole):
-        parts = [x for x in re.split("[-_]+", word) if x]
+    words = {w for _, value in names for w in value.split()}
+    whole = {w.lower() for w in words}
+    for word in sorted(words):
+        parts = [x.lower() for x in _PARTS.split(word) if x]
         if len(parts) > 1 and (parts[0] in _HAS or parts[-1] in _STATE):
             continue
         if article:  # an article's own heading is its text
@@ -232,7 +236,7 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
         elif name not in ("html", "body"):
             if top.article and name in _SECTIONS:
                 names = [x for x in names if x[0] != "id"]
-            if hit := _named_away(names, top.article):
+            if (hit := _named_away(names, top.article)) and not (top.article and name in _TEXTS and hit[0] in _CALLOUTS):
                 own = _Cause("readers" if hit[0] in _READERS else "aside" if hit[0] in _ASIDES else "name" if hit[1] else "part", "")
         stack.append(_Open(name, path, (*causes, own) if own else causes, top.article or inside, own))
         if m["attributes"].endswith("/") and name not in _BLOCK:

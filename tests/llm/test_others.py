@@ -309,6 +309,20 @@ def test_fixed_slots_of_a_host_go_and_articles_stay(spark):
     assert {r.text for r in op9.extract(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"a line on every page"}
 
 
+def test_the_template_decides_where_no_tag_does(spark):
+    """Without an article tag, and on article pages beside it, what stays depends on the host's classes alone."""
+    body = "<body><div>Shop name</div><div><span>All offers</span></div><div><p>{}</p></div><div>Terms apply</div></body>"
+    rows = [(i, f"http://plain.org/{i}", body.format(f"text {i}")) for i in range(6)]
+    rows += [(10 + i, f"http://mixed.org/{i}", f"<body><div class=top>Latest</div><div class=lead>lead {i}</div><article>story {i} <nav>menu</nav></article></body>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_template = {r.row.page_id: r.text for r in op9.extract(pages).collect()}
+    without = {r.row.page_id: r.text for r in op9.extract(pages, support=100).collect()}
+    assert [with_template[i] for i in range(6)] == [f"text {i}" for i in range(6)]
+    assert [without[i] for i in range(6)] == [f"Shop name All offers text {i} Terms apply" for i in range(6)]
+    assert [with_template[10 + i] for i in range(6)] == [f"lead {i} story {i}" for i in range(6)]
+    assert all(without[10 + i] != with_template[10 + i] for i in range(6))
+
+
 def test_classes_match_brute_force(spark):
     """Classes of the pages' own tokens, from the whole vectors; a page that stands twice counts twice."""
     page = "<body><div>Site</div>{}<div class=story><p>{}</p>{}</div><div>End</div></body>"
@@ -391,6 +405,8 @@ LONG = "word " * 60
         ("<main>a</main><form>f", ["a"]),
         ('<article>a<section id="discussion"><h2 id="notice">b</h2><p>c</section><div class="comments"><article>no</article></div></article>', ["a", "b", "c"]),
         ('<div class="related-posts"><article>no</article></div><article>a</article>', ["a"]),
+        ('<div class="comment12">no</div><div class="ads1">no</div><div class="adBox">no</div><div id="siteHeader">no</div><div class="relatedPosts">no</div><p class="MsoNormal">a</p><div class="hasSidebar postContent2">b</div>', ["a", "b"]),
+        ('<article>a<section id="related"><p>b</p></section><p class="alert">c</p><div class="alert">no</div></article><article class="comment-body"><p>no</article>', ["a", "b", "c"]),
     ],
 )
 def test_wrappers_do_not_take_the_article(page, want):
