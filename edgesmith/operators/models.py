@@ -15,6 +15,10 @@ from edgesmith.operators.graph import Graph, degrees
 from edgesmith.operators.metrics import hard_average_precision
 
 
+#: Most centres and landmarks that every task holds.
+CENTRES = 10_000
+
+
 def pair_features(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     """pairs with ``features``, the product of the two vectors entry by entry."""
     x, y = (emb.select(F.col("id").alias(c), F.col("vec").alias(f"_{c}")) for c in ("u", "v"))
@@ -48,7 +52,10 @@ def with_truth(scored: DataFrame, hidden: DataFrame) -> DataFrame:
 
 
 def assign(emb: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, cluster): nearest centre of (cluster, centre), ties to the smaller. Centres are few by their k."""
+    """(id, cluster): nearest centre of (cluster, centre), ties to the smaller. Every row meets every centre, so these are
+    counted first: more than CENTRES of them is not what k-means is for."""
+    if centres.count() > CENTRES:
+        raise ValueError(f"more than {CENTRES} centres")
     both = emb.select("id", "vec").join(F.broadcast(centres))
     d = F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return both.groupBy("id").agg(F.min(F.struct(F.round(d, 9).alias("d"), "cluster"))["cluster"].alias("cluster"))
@@ -72,8 +79,10 @@ def structure_features(graph: Graph, layers: DataFrame, alpha: float = 0.1, log_
 def landmark_similarity(features: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(node, landmark, sim): exp of minus the distance of sparse feature vectors.
 
-    |a - b|^2 = |a|^2 + |b|^2 - 2 a.b, so only shared entries are joined; landmarks are few by their sample.
+    |a - b|^2 = |a|^2 + |b|^2 - 2 a.b, so only shared entries are joined; landmarks are few by their sample, and counted.
     """
+    if landmarks.count() > CENTRES:
+        raise ValueError(f"more than {CENTRES} landmarks")
     marks = features.join(landmarks.select("node"), "node", "left_semi").select(F.col("node").alias("landmark"), "d", F.col("x").alias("y"))
     size = features.groupBy("node").agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
     msize = marks.groupBy("landmark").agg(F.sum(F.col("y") * F.col("y")).alias("yy"))

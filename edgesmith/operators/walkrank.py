@@ -50,10 +50,12 @@ class TruncatedPageRank:
     def step(self, pi: DataFrame) -> DataFrame:
         a = self.damping
         moved = self.adj.join(pi.select(F.col("q").alias("nb"), "v", "p", "rk"), "nb").where(F.col("rk") <= F.col("trunc"))
-        mass = moved.select("q", "v", (F.lit(a) / F.col("deg") * F.col("p")).alias("p"))
-        mass = mass.unionByName(self.limits.select("q", F.col("q").alias("v"), F.lit(1 - a).alias("p")))
-        summed = _ranked(mass.groupBy("q", "v").agg(F.sum("p").alias("p")))
-        return summed.join(self.limits.select("q", "trunc"), "q").where(F.col("rk") <= F.col("trunc")).select("q", "v", "p", "rk")
+        mass = moved.select("q", "v", (F.lit(a) / F.col("deg") * F.col("p")).alias("p"), "trunc")
+        mass = mass.unionByName(self.limits.select("q", F.col("q").alias("v"), F.lit(1 - a).alias("p"), "trunc"))
+        # dealt by source once, for the sum and the rank: rows of one (q, v) come by different neighbours, so that sums
+        # before the shuffle would save little
+        summed = _ranked(mass.repartition("q").groupBy("q", "v").agg(F.sum("p").alias("p"), F.first("trunc").alias("trunc")))
+        return summed.where(F.col("rk") <= F.col("trunc")).select("q", "v", "p", "rk")
 
     def change(self, old: DataFrame, new: DataFrame) -> DataFrame:
         """One row: delta and total; an entry on both sides counts twice in both, as the stopping rule has it."""

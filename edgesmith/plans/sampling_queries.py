@@ -190,6 +190,29 @@ def split_overlap(spark, sf):
     return splits.overlap(split.unionByName(again))
 
 
+ALL = f"WITH {V.ALL_ORDERS}"
+
+
+@query(f"{ALL} SELECT u, v, weight, ts FROM gu")
+def all_graph_edges(spark, sf):
+    return V.shared_orders(spark, sf, None)
+
+
+@query(f"{ALL} SELECT node, deg FROM deg")
+def all_degree(spark, sf):
+    return V.part_graph(spark, sf, None).degree
+
+
+@query(f"{ALL}, {TEMPORAL} SELECT * FROM sp")
+def all_split_temporal(spark, sf):
+    return splits.temporal_split(V.part_graph(spark, sf, None).edges)
+
+
+@query(f"{WEDGES.replace(GU, ALL)} SELECT u, v, adamic_adar FROM s ORDER BY adamic_adar DESC, u, v LIMIT 1000")
+def all_adamic_adar_topk(spark, sf):
+    return scores.top_pairs(scores.wedge_scores(V.part_graph(spark, sf, None)), "adamic_adar", 1000)
+
+
 @query(f"{WEDGES}, n AS (SELECT count(*)::DOUBLE AS n FROM deg), p AS (SELECT u, v FROM s ORDER BY common DESC, u, v LIMIT 1000) SELECT count(*) AS n_pairs, round(count(*) / (any_value(n) * any_value(n)), 9) AS prune FROM p, n")
 def prune_share(spark, sf):
     g = V.part_graph(spark, sf)

@@ -13,9 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(u, v, weight, ts): parts u < v on returned lines of one order; how many orders, and the first date."""
-    lines = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+def shared_orders(spark: SparkSession, sf_dir: str, flag: str | None = "R") -> DataFrame:
+    """(u, v, weight, ts): parts u < v returned from one order; how many orders, and the first date. Without a ``flag``,
+    parts on any lines of one order."""
+    lines = read(spark, sf_dir, "lineitem")
+    lines = (lines if flag is None else lines.where(F.col("l_returnflag") == flag)).select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
     pairs = lines.alias("a").join(lines.alias("b"), "o").where("a.p < b.p").select("o", F.col("a.p").alias("u"), F.col("b.p").alias("v"))
     dated = pairs.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), "o_orderdate"), "o")
     return dated.groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight"), F.min("o_orderdate").alias("ts"))
@@ -34,9 +36,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
-def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def part_graph(spark: SparkSession, sf_dir: str, flag: str | None = "R") -> Graph:
     """The one-sided graph, its edges cut from their lineage since every operator reads them often."""
-    return Graph(cut(shared_orders(spark, sf_dir)))
+    return Graph(cut(shared_orders(spark, sf_dir, flag)))
 
 
 def purchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -51,6 +53,9 @@ gu AS (SELECT a.p AS u, b.p AS v, count(*) AS weight, min(o_orderdate) AS ts FRO
 adj AS (SELECT u AS src, v AS dst FROM gu UNION ALL SELECT v, u FROM gu),
 deg AS (SELECT src AS node, count(*) AS deg FROM adj GROUP BY src)"""
 
+#: The same over all lines.
+ALL_ORDERS = SHARED_ORDERS.replace("WHERE l_returnflag = 'R'", "")
+
 PURCHASES = """
 gb AS (SELECT 2 * o_custkey AS u, 2 * l_partkey + 1 AS v, min(o_orderdate) AS ts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
 
