@@ -7,9 +7,14 @@ the state stays within a constant times the edges.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,11 +102,69 @@ class TruncatedPageRank:
         return self.candidates(self.state())
 
 
-def pagerank(graph: Graph, sources: DataFrame, k: int, damping: float = 0.8, iterations: int = 20) -> DataFrame:
+#: Most directed edges (16 bytes each) that every task holds; graphs beyond it are walked by joins.
+HELD = 1 << 22
+
+
+class Held:
+    """The adjacency of a graph of at most HELD directed edges, by node positions, for Arrow tasks."""
+
+    def __init__(self, adj: DataFrame):
+        rows = adj.select(F.col("src").cast("long"), F.col("dst").cast("long")).toArrow()
+        src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
+        order = np.lexsort((dst, src))
+        self.nodes, self.first = np.unique(src[order], return_index=True)
+        self.to = np.searchsorted(self.nodes, dst[order])
+        self.deg = np.diff(np.append(self.first, len(src)))
+
+    def place(self, node: int) -> int:
+        """The node's position, or -1 for one without edges."""
+        at = int(np.searchsorted(self.nodes, node))
+        return at if at < len(self.nodes) and self.nodes[at] == node else -1
+
+
+def _held(adj: DataFrame, most: int):
+    """A broadcast of the adjacency, or None if it is too large."""
+    return adj.sparkSession.sparkContext.broadcast(Held(adj)) if adj.count() <= most else None
+
+
+def _pagerank_held(held, sources: DataFrame, k: int, damping: float, iterations: int) -> DataFrame:
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = held.value
+        block = max(1, (1 << 22) // max(1, len(h.to)))
+        for batch in batches:
+            ids = [q for q in batch.column(0).to_pylist() if q is not None]
+            for lo in range(0, len(ids), block):
+                out: list[list] = [[], [], []]
+                some = [(q, at) for q in ids[lo : lo + block] if (at := h.place(q)) >= 0]
+                own = np.array([at for _, at in some], np.int64)
+                start = np.zeros((len(some), len(h.nodes)))
+                start[np.arange(len(some)), own] = 1.0
+                p = start
+                for _ in range(iterations if len(some) else 0):
+                    # the graph is symmetric: what comes to a node comes from its neighbours
+                    p = np.add.reduceat((damping * p / h.deg)[:, h.to], h.first, axis=1) + (1 - damping) * start
+                for (q, at), row in zip(some, p, strict=True):
+                    row = row.copy()
+                    row[at] = row[h.to[h.first[at] : h.first[at] + h.deg[at]]] = 0.0
+                    found = np.flatnonzero(row > 0)
+                    best = found[np.lexsort((found, -np.round(row[found], 12)))[:k]]
+                    out[0] += [q] * len(best)
+                    out[1] += h.nodes[best].tolist()
+                    out[2] += np.round(row[best], 9).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["q", "v", "p"])
+
+    return sources.select(F.col("node").cast("long")).repartition(sources.sparkSession.sparkContext.defaultParallelism).mapInArrow(rank, "q long, v long, p double")
+
+
+def pagerank(graph: Graph, sources: DataFrame, k: int, damping: float = 0.8, iterations: int = 20, held: int = HELD) -> DataFrame:
     """(q, v, p): the k best non-neighbours of each source by untruncated personalised PageRank.
 
-    ``sources`` (node) come in blocks of a size that the caller chooses: state is sources times nodes reached.
+    A graph of at most ``held`` directed edges, counted, goes to every task, which ranks blocks of sources on its own.
+    Beyond, ``sources`` (node) come in blocks of a size that the caller chooses: state is sources times nodes reached.
     """
+    if small := _held(graph.adj, held):
+        return _pagerank_held(small, sources, k, damping, iterations)
     sources = cut(sources.select(F.col("node").alias("q")))
     adj = cut(graph.adj.join(graph.degree.select(F.col("node").alias("src"), "deg"), "src"))
     pi = sources.select("q", F.col("q").alias("v"), F.lit(1.0).alias("p"))
@@ -114,9 +177,35 @@ def pagerank(graph: Graph, sources: DataFrame, k: int, damping: float = 0.8, ite
     return _ranked(free).where(F.col("rk") <= k).select("q", "v", F.round("p", 9).alias("p"))
 
 
-def restart_walks(graph: Graph, sources: DataFrame, steps: int = 1000, restart: float = 0.1, seed: int = 42) -> DataFrame:
+def _walks_held(held, sources: DataFrame, steps: int, limit: int, seed: int) -> DataFrame:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = held.value
+        draw = lambda q, s, what: int(hashlib.md5(f"{seed}|{q}|{s}|{what}".encode()).hexdigest()[:7], 16)
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for q in batch.column(0).to_pylist():
+                start = -1 if q is None else h.place(q)
+                if start < 0:
+                    continue
+                at, seen = start, Counter()
+                for s in range(steps):
+                    to = int(h.to[h.first[at] + draw(q, s, "step") % int(h.deg[at])])
+                    seen[to] += 1
+                    at = start if draw(q, s, "back") < limit else to
+                out[0] += [q] * len(seen)
+                out[1] += [int(h.nodes[v]) for v in seen]
+                out[2] += seen.values()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["q", "v", "visits"])
+
+    return sources.select(F.col("node").cast("long")).repartition(sources.sparkSession.sparkContext.defaultParallelism).mapInArrow(walk, "q long, v long, visits long")
+
+
+def restart_walks(graph: Graph, sources: DataFrame, steps: int = 1000, restart: float = 0.1, seed: int = 42, held: int = HELD) -> DataFrame:
     """(q, v, visits): one walker a source. Each step goes to the neighbour whose place in ascending order is
-    the step's digest modulo the degree; then, with probability ``restart``, the walker is put back."""
+    the step's digest modulo the degree; then, with probability ``restart``, the walker is put back. A graph of at most
+    ``held`` directed edges, counted, goes to every task, which walks on its own; beyond, each step is a join."""
+    if small := _held(graph.adj, held):
+        return _walks_held(small, sources, steps, int(restart * (1 << 28)), seed)
     adj = graph.adj.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).join(graph.degree.select(F.col("node").alias("src"), "deg"), "src")
     adj = cut(adj)
     walkers = sources.select(F.col("node").alias("q"), F.col("node").alias("at"))

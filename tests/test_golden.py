@@ -77,6 +77,15 @@ def test_pagerank_and_restart_walks_emit_no_neighbours(g):
     assert sum(r.visits for r in walkrank.restart_walks(g, g.all_nodes(), 20).collect()) == 6 * 20
 
 
+def test_walks_by_joins_and_in_tasks_agree(g):
+    nodes = g.all_nodes()
+    for steps in (1, 7):
+        assert rows(walkrank.restart_walks(g, nodes, steps, 0.3)) == rows(walkrank.restart_walks(g, nodes, steps, 0.3, held=0))
+    for iterations in (1, 4):
+        one, two = (rows(walkrank.pagerank(g, nodes, 3, iterations=iterations, held=held)) for held in (1000, 0))
+        assert [r[:2] for r in one] == [r[:2] for r in two] and [r[2] for r in one] == pytest.approx([r[2] for r in two], abs=1e-9)
+
+
 def test_metrics(spark):
     predicted = spark.createDataFrame([(1, 4), (2, 5), (3, 5), (4, 6)], "u long, v long")
     hidden = spark.createDataFrame([(1, 4), (1, 6)], "u long, v long")
