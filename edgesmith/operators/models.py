@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -114,14 +117,12 @@ def structure_embedding(similarity: DataFrame, marks: list) -> DataFrame:
     return rows.mapInPandas(multiply, "id long, vec array<double>")
 
 
-def factor_embedding(graph: Graph, dim: int = 16, window: int = 2, negative: int = 1) -> DataFrame:
+def factor_embedding(graph: Graph, dim: int = 16, window: int = 2, negative: int = 1, held: int = 1 << 24) -> DataFrame:
     """(id, vec): singular vectors of log(max(1, vol / (negative * window) * sum of walk steps * D^-1)).
 
-    The matrix is made by joins, as sparse rows; the decomposition is distributed (Lanczos on its Gram matrix).
+    The matrix is made by joins, as sparse rows. Up to ``held`` entries of the basis (nodes times dimensions, counted)
+    tasks multiply their rows by it; beyond, the decomposition is Lanczos on the Gram matrix.
     """
-    from pyspark.mllib.linalg import SparseVector
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
     deg = graph.degree
     ids = cut(row_numbers(deg, "node").select("node", "deg", (F.col("rn") - 1).alias("pos")))
     n, volume = ids.count(), ids.agg(F.sum("deg")).first()[0]
@@ -133,14 +134,55 @@ def factor_embedding(graph: Graph, dim: int = 16, window: int = 2, negative: int
         total = total.unionByName(power)
     scaled = total.groupBy("i", "j").agg(F.sum("x").alias("x")).join(ids.select(F.col("pos").alias("j"), "deg"), "j")
     m = scaled.select("i", "j", F.log(F.greatest(F.lit(float(volume) / (negative * window)) * F.col("x") / F.col("deg"), F.lit(1.0))).alias("x")).where("x > 0")
-    rows = m.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("r"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["i"], SparseVector(n, [(e["j"], e["x"]) for e in r["r"]]))), n, n)
+    rows = cut(m.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("x").alias("x")))
+    width = min(dim + 8, n)
+    if n * width <= held:
+        vec = _leading(rows, n, min(dim, n), width)
+        made = graph.edges.sparkSession.createDataFrame(pa.table({"pos": np.arange(n), "vec": pa.array(list(vec), pa.list_(pa.float64()))}))
+        return made.join(ids, "pos").select(F.col("node").alias("id"), "vec")
+    from pyspark.mllib.linalg import SparseVector
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["i"], SparseVector(n, sorted(zip(r["j"], r["x"], strict=True))))), n, n)
     svd = matrix.computeSVD(min(dim, n - 1), computeU=True)
     root = [float(x) ** 0.5 for x in svd.s]
     made = svd.U.rows.map(lambda r: (int(r.index), [float(a) * b for a, b in zip(r.vector, root, strict=True)])).toDF("pos long, vec array<double>")
     return made.join(ids, "pos").select(F.col("node").alias("id"), "vec")
 
 
+def _leading(rows: DataFrame, n: int, dim: int, width: int, rounds: int = 12) -> np.ndarray:
+    """The leading ``dim`` eigenvectors of a symmetric matrix given as sparse rows (i, j, x), each times the root of its
+    value's size, by subspace iteration: tasks multiply their rows by the n x width basis, the driver orthogonalises it."""
+    context = rows.sparkSession.sparkContext
+
+    def product(basis: np.ndarray) -> np.ndarray:
+        shared = context.broadcast(basis)
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                j, x = (batch.column(k) for k in (1, 2))
+                # a row at a time: its entries times the width are held
+                lines = [x[k].values.to_numpy() @ shared.value[j[k].values.to_numpy()] for k in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.float64()))], ["i", "y"])
+
+        got = rows.mapInArrow(multiply, "i long, y array<double>").toArrow()
+        out = np.zeros((n, width))
+        if got.num_rows:
+            out[got.column("i").to_numpy()] = np.vstack(got.column("y").to_pylist())
+        shared.unpersist()
+        return out
+
+    basis = np.linalg.qr(np.random.default_rng(42).normal(size=(n, width)))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(product(basis))[0]
+    small = basis.T @ product(basis)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-np.abs(values))[:dim]
+    vec = basis @ turn[:, order]
+    vec *= np.sign(vec[np.abs(vec).argmax(0), np.arange(len(order))] + 1e-300)  # one sign for each vector
+    return vec * np.sqrt(np.abs(values[order]))
+
+
 def factor_pairs(factors: DataFrame, epsilon: float, edges: DataFrame | None = None) -> DataFrame:
     """(u, v, score) from (node, c, f): sum over components of f_u f_v, of terms of at least epsilon over the
     number of components; a node's factor below the root of that can't be part of any and is left out only

@@ -258,7 +258,7 @@ def ensemble_union(spark, sf):
 
 @query()
 def nmf_ensemble(spark, sf):
-    return models.nmf_ensemble(V.part_graph(spark, sf), 500, bags=4, share=0.02)
+    return models.nmf_ensemble(V.part_graph(spark, sf), 500, bags=9, rank=50)
 
 
 FEATURES = f"{_layers_sql(2)}, sf AS (SELECT q AS node, deg AS d, round(sum(pow(0.1, hop)), 9) AS x FROM s2 JOIN deg ON deg.node = s2.v GROUP BY ALL)"

@@ -108,6 +108,22 @@ def test_factors_fit_their_bag_without_a_square(spark, g, edges):
     assert all(a.f >= b.f for a in ranks for b in ranks if a.c == b.c and b.rk == a.rk + 1)
 
 
+@pytest.mark.parametrize("window", [1, 2])
+def test_factors_are_those_of_the_whole_matrix(g, edges, window):
+    a = np.zeros((40, 40))
+    for u, v in edges:
+        a[u, v] = a[v, u] = 1
+    step = a / a.sum(1, keepdims=True)
+    m = np.log(np.maximum(1, a.sum() / window * sum(np.linalg.matrix_power(step, k + 1) for k in range(window)) / a.sum(0)))
+    values, vectors = np.linalg.eigh(m)
+    for held in (1 << 24, 0):
+        got = {r.id: np.array(r.vec) for r in models.factor_embedding(g, 6, window, held=held).collect()}
+        x = np.stack([got[i] for i in range(40)])
+        best = np.argsort(-np.abs(values))[:6]
+        want = (vectors[:, best] * np.abs(values[best])) @ vectors[:, best].T
+        assert np.abs(x @ x.T - want).max() < 0.05 * np.abs(want).max()
+
+
 def test_recommendations_are_the_best_products(emb):
     users, items = emb.where("id < 10"), emb.where("id >= 10")
     known = users.select(F.col("id").alias("user"), (F.col("id") + 10).alias("item"))
