@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgesmith.functions.lineage import checkpoint_folder
@@ -13,6 +13,9 @@ from edgesmith.functions.lineage import checkpoint_folder
 #: With it, Spark removes a plan's shuffle files as soon as the plan has run.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Places for each shuffle partition: a key with more than one place's share of all rows is dealt over several.
+PLACES = 4
+
 #: A word is a run of bytes other than space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,6 +71,19 @@ def by_pack(rows: DataFrame, n_packs: int, key: str = "g") -> DataFrame:
     return rows.repartition(max(partitions(rows.sparkSession), min(-(-n_packs // 2), 100_000)), key)
 
 
+def salted(rows: DataFrame, key: str, spread: Column, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with ``salt``, and one row for each key and salt that they can have: _key, _salt.
+
+    ``counts`` holds, written out, how many rows (n) each key has. A key gets as many salts as it has shares of all rows, so
+    no place holds more than a share, whatever their number. Fewer keys than places have more than one, so these are broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    dealt = counts.select(F.col(key).alias("_key"), F.ceil(F.col("n") / F.lit(max(1.0, total / (PLACES * partitions(rows.sparkSession))))).alias("_salts"))
+    hot = F.broadcast(dealt.where("_salts > 1"))
+    out = rows.join(hot, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("salt", F.pmod(spread, F.coalesce("_salts", F.lit(1))))
+    return out.drop("_key", "_salts"), dealt.select("_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total UTF-8 bytes of a text column: one column scan, one number to the driver."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)

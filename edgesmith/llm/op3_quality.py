@@ -3,8 +3,10 @@
 Each document is measured and failed by base rules of its own. Failures are summed by host (for
 ``documents``, the ``source``); each host's failure rate is shrunk towards the others' by a beta
 prior fitted to the hosts' rates by moments; a host whose shrunk rate exceeds the limit is rejected,
-and the verdict is joined back to its documents. Documents carry a salt and verdicts one row for each salt,
-so the documents of a host with a third of all are dealt over many tasks.
+and the verdict is joined back to its documents. A host with more than its share of all documents, the total over
+four places a shuffle partition, gets as many salts as shares, and its verdict a row for each salt; all other
+hosts have one. So a host with a third of all is dealt over a third of the places, however many rows that is. The hosts
+with salts are fewer than the places, so that they can be broadcast.
 
 The prior: with m the mean and v the variance of the rates of hosts with documents, the strength is
 m(1-m)/v - 1, held between 1 and 1e6 (v = 0 gives 1e6), alpha = m * strength and beta = (1-m) *
@@ -20,13 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import WORD, materialise, salted, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5
-#: A host's documents meet its verdict in so many places.
-SALTS = 16
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -98,12 +98,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: list
     names = docs.columns if carry is None else carry
     m = docs.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in names)).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), measures(F.col(f"`{text}`")).alias("m"))
     failed = (F.col("m.n_words") < min_words) | (100 * F.col("m.n_repeat_words") > max_repeat_percent * F.col("m.n_words"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
-    judged = materialise(m.select("row", "host", salt.alias("salt"), "m.*", failed.alias("base_failed")))
-    verdicts = host_rates(judged, "host", "base_failed", max_host_rate).select(F.col("host").alias("verdict_host"), "shrunk_rate", "rejected")
-    verdicts = verdicts.withColumn("verdict_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = materialise(m.select("row", "host", F.monotonically_increasing_id().alias("at"), "m.*", failed.alias("base_failed")))
+    rates = materialise(host_rates(judged, "host", "base_failed", max_host_rate))
+    dealt, salts = salted(judged, "host", F.col("at"), rates.select("host", F.col("n_docs").alias("n")))
+    verdicts = rates.join(salts, F.col("host").eqNullSafe(F.col("_key"))).select(F.col("host").alias("verdict_host"), "shrunk_rate", "rejected", "_salt")
     # not broadcast by hand: hosts grow with the crawl. The null-safe join also finds the null host.
-    joined = judged.join(verdicts, (F.col("salt") == F.col("verdict_salt")) & F.col("host").eqNullSafe(F.col("verdict_host")), "left")
+    joined = dealt.join(verdicts, (F.col("salt") == F.col("_salt")) & F.col("host").eqNullSafe(F.col("verdict_host")), "left")
     return joined.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
 
 

@@ -9,7 +9,7 @@ equality on the key, and the interval around the day; at most one entry a list a
 Each distinct (url, day) is judged once and the verdict joined back, so repeated captures of one page
 don't multiply. Most keys are in no list, and some (a domain ending) are those of a third of all captures.
 Up to ``BROADCAST`` intervals, counted, every task has them all, and no key is shuffled. Beyond, keys are
-dealt by (key, salt), and each interval goes to every salt.
+counted and dealt by (key, salt), as many salts as the key has shares of all, and each interval goes to every salt of its key.
 
 Defined results: a null or unparsable url, or a null day, matches nothing. Null patterns, days or lists
 are no entries. Repeated entries count once. With no entries all captures pass. The input's columns come back
@@ -21,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, salted, table
 
-#: Most intervals (some hundred bytes each) that are broadcast, and the salts of a key beyond.
-BROADCAST, SALTS = 200_000, 32
+#: Most intervals (some hundred bytes each) that are broadcast.
+BROADCAST = 200_000
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -59,8 +59,10 @@ def _meeting(looked: DataFrame, held: DataFrame, most: int) -> DataFrame:
     held = materialise(held)
     if held.count() <= most:
         return looked.join(F.broadcast(held), "pattern")
-    salted = looked.withColumn("salt", F.pmod(F.xxhash64("url", "day"), F.lit(SALTS)))
-    return salted.join(held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["pattern", "salt"])
+    counts = materialise(looked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).join(held, "pattern", "left_semi"))
+    dealt, salts = salted(looked, "pattern", F.xxhash64("url", "day"), counts)
+    every = held.join(salts, F.col("pattern") == F.col("_key")).select("*", F.col("_salt").alias("salt")).drop("_key", "_salt")
+    return dealt.join(every, ["pattern", "salt"])
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched", broadcast: int = BROADCAST) -> DataFrame:

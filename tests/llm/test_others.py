@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from edgesmith.llm.common import PLACES, materialise, salted
 from edgesmith.llm import op3_quality as op3, op4_tokens as op4, op5_packing as op5, op6_mixing as op6, op7_chat as op7, op8_url_filters as op8, op9_html as op9
 
 from . import fixtures as X
@@ -253,6 +254,18 @@ def test_long_conversations_without_numbers(spark, tmp_path):
     against_sql(spark, tmp_path, op7.SQL, op7.op7_chat, "conversations", spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5))
 
 
+def test_hot_keys_are_dealt_by_their_share(spark, tmp_path):
+    rows = spark.range(4800).select("id", F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"))
+    counts = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    dealt, salts = salted(rows, "key", F.xxhash64("id"), counts)
+    share = 4800 / (PLACES * 4)
+    got = {(r.key, r.salt): r["count"] for r in dealt.groupBy("key", "salt").count().collect()}
+    assert sum(got.values()) == 4800 and max(got.values()) < 1.5 * share
+    assert sum(k is None for k, _ in got) == sum(k == "hot" for k, _ in got) == 6
+    assert set(got) <= {(r._key, r._salt) for r in salts.collect()}
+    assert salted(rows.limit(0), "key", F.col("id"), counts.limit(0))[0].count() == 0
+
+
 def test_url_filters_match_sql(spark, tmp_path):
     urls = [f"https://{h}.example.{t}/{p}/x?q=1" for h in ("a", "b.c", "M.d", "ads") for t in ("com", "org", "net") for p in ("en", "fr", "")] + [None, "", "no url", "http://user@h.example.com:80/en"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls * 7)], "page_id long, url string, html string")
