@@ -25,7 +25,7 @@ References are decoded, white space in a block becomes one space, blocks are joi
 
 Defined results: null and empty pages have empty text. A page without a host shares no template. Repeated
 pages count as pages of their host. Unclosed, crossed and stray tags are closed as their block ends; a cut-off
-page ends where it ends, and a tag cut off there is no text. A body or any content closes the head. An
+page ends where it ends, and a tag cut off there is no text. An empty comment (``<!-->``) holds nothing. A body or any content closes the head. An
 article or main tag is the article whatever stands around it, unless that is readers' comments, a closed aside or footer, or related posts. Only scripts, styles, titles, frames, text areas and
 noscript are raw; formulas and an object's fallback are text. A tag with an odd quote ends at its first ``>``.
 An empty table gives an empty result. The input's columns come back in ``row``.
@@ -53,7 +53,7 @@ SUPPORT = 3
 TOKENS = 2
 
 _RAW = "script|style|noscript|textarea|iframe|title"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:(?<=[\s\"']/>)|.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:(?<=[\s\"']/>)|.*?</(?P=raw)\s*>|.*\Z)|<(?P<shut>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|</?[a-z][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[-_0-9]+|(?<=[a-z])(?=[A-Z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,7 +66,7 @@ _PASSES_HEAD = frozenset("html head base basefont bgsound link meta template".sp
 _READERS = frozenset("comment comments disqus respond replies discussion".split())
 _ASIDES = frozenset("aside complementary related recommended".split())
 _AWAY_NAMES = _READERS | _ASIDES | frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars contentinfo "
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead footer sidebar sidebars contentinfo "
     "cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter subscribe subscription signup login search form forms share sharing social widget widgets toolbar skip paywall".split()
 )
 #: A paragraph's own warning, not a notice of the site.

@@ -305,6 +305,8 @@ def test_article_text(spark):
     [
         ('<div class="page-header">H</div><article><div class="entry-header"><h1>Title</h1></div><p>a', ["Title", "a"]),
         ('<article><p>x<div class="header-ad">Buy</div><p>y</article>', ["x", "y"]),
+        ("<article><p>a<!-->b<!--->c<!-- > x --!>d<!-- no end <p>e</p>", ["abcd"]),
+        ('<div class=pager>1</div><article><p>x<ins class="adsbygoogle">Buy</ins> y</article>', ["x", "y"]),
         ('<p>one < two <a href="three>four</a><p>five</p><p cla', ["one < two four", "five"]),
     ],
 )
