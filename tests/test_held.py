@@ -21,7 +21,7 @@ def test_all_pairs_are_scored_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(held, "STRIP", 48)
     emb = _table(spark)
     every = knn.exhaustive(emb)
-    assert "Join" not in every._jdf.queryExecution().toString()
+    assert "Join" not in _plan(every)
     assert _rows(every, "u", "v", "score") == _rows(knn.exhaustive(emb, blocks=3), "u", "v", "score")
 
 
@@ -34,3 +34,13 @@ def test_odd_vectors_go_by_joins(spark):
         assert held.hold(uneven) is None
         assert knn.exhaustive(uneven).count() == 15
     assert knn.exhaustive(emb.limit(0)).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_confidence_counts_without_a_join(spark):
+    from edgesmith.plans import catalogue
+
+    assert "Join" not in _plan(catalogue.QUERIES["exhaustive_confidence"](spark, "/root/testdata/sf0.001"))
