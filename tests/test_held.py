@@ -44,3 +44,12 @@ def test_confidence_counts_without_a_join(spark):
     from edgesmith.plans import catalogue
 
     assert "Join" not in _plan(catalogue.QUERIES["exhaustive_confidence"](spark, "/root/testdata/sf0.001"))
+
+
+def test_labels_of_both_ends_come_with_the_pairs(spark):
+    from edgesmith.plans import catalogue
+
+    emb = _table(spark, 90)
+    more = ("label", "lu", "lv")
+    assert _rows(knn.exhaustive(emb, more=more), "u", "v", "score", "lu", "lv") == _rows(knn.exhaustive(emb, blocks=2, more=more), "u", "v", "score", "lu", "lv")
+    assert "Join" not in _plan(catalogue.QUERIES["average_precision"](spark, "/root/testdata/sf0.001"))
