@@ -53,3 +53,12 @@ def test_labels_of_both_ends_come_with_the_pairs(spark):
     more = ("label", "lu", "lv")
     assert _rows(knn.exhaustive(emb, more=more), "u", "v", "score", "lu", "lv") == _rows(knn.exhaustive(emb, blocks=2, more=more), "u", "v", "score", "lu", "lv")
     assert "Join" not in _plan(catalogue.QUERIES["average_precision"](spark, "/root/testdata/sf0.001"))
+
+
+def test_truth_by_a_condition_or_a_table(spark):
+    from edgesmith.operators import models
+    from edgesmith.plans import catalogue
+
+    scored = spark.createDataFrame([(1, 2, 0.5, True), (1, 3, 0.25, None), (2, 3, 0.75, False)], "u long, v long, p double, same boolean")
+    assert _rows(models.with_truth(scored, F.col("same")), "u", "v", "p") == _rows(models.with_truth(scored, scored.where("same")), "u", "v", "p")
+    assert "Join" not in _plan(catalogue.QUERIES["oracle_perfect"](spark, "/root/testdata/sf0.001"))
