@@ -61,3 +61,16 @@ def test_truth_by_a_condition_or_a_table(spark):
     scored = spark.createDataFrame([(1, 2, 0.5, True), (1, 3, 0.25, None), (2, 3, 0.75, False)], "u long, v long, p double, same boolean")
     assert _rows(models.with_truth(scored, F.col("same")), "u", "v", "p") == _rows(models.with_truth(scored, scored.where("same")), "u", "v", "p")
     assert "Join" not in _plan(catalogue.QUERIES["oracle_perfect"](spark, "/root/testdata/sf0.001"))
+
+
+def test_recommendations_by_held_vectors_agree_with_blocks(spark):
+    from edgesmith.operators import models
+
+    emb = _table(spark, 400, 2)  # coarse entries: many ties
+    users, items = emb.where("id % 2 = 0"), emb.where("id % 2 <> 0")
+    known = items.select("id").limit(60).crossJoin(users.limit(3).select(F.col("id").alias("user"))).select("user", F.col("id").alias("item"))
+    for some in (None, known):
+        got, want = models.recommend(users, items, 4, some), models.recommend(users, items, 4, some, 3)
+        assert "GenerateExec" not in _plan(got) and "explode" not in _plan(got)
+        assert _rows(got, "user", "item", "score", "rk") == _rows(want, "user", "item", "score", "rk")
+    assert models.recommend(users, items.limit(0), 4).count() == models.recommend(users.limit(0), items, 4).count() == 0
