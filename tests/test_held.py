@@ -74,3 +74,16 @@ def test_recommendations_by_held_vectors_agree_with_blocks(spark):
         assert "GenerateExec" not in _plan(got) and "explode" not in _plan(got)
         assert _rows(got, "user", "item", "score", "rk") == _rows(want, "user", "item", "score", "rk")
     assert models.recommend(users, items.limit(0), 4).count() == models.recommend(users.limit(0), items, 4).count() == 0
+
+
+def test_first_pairs_of_cells_agree_with_joins(spark):
+    from edgesmith.operators import grouped
+
+    emb = _table(spark, 700, 2)  # cells of more than a strip, with ties
+    groups = emb.select(F.col("id").alias("node"), F.col("label").alias("grp"))
+    wanted = spark.createDataFrame([(0, 0), (0, 1), (1, 2), (3, 9)], "g1 int, g2 int")
+    got = grouped.first_vector_pairs(emb, groups, wanted, 15)
+    want = grouped._ranked(grouped.vector_pairs(emb, groups, wanted), F.lit(15))
+    cols = ("u", "v", "score", "g1", "g2")
+    assert _rows(got, *cols) == _rows(want, *cols) and got.count() == 45
+    assert "Join" not in _plan(got)
