@@ -87,3 +87,21 @@ def test_first_pairs_of_cells_agree_with_joins(spark):
     cols = ("u", "v", "score", "g1", "g2")
     assert _rows(got, *cols) == _rows(want, *cols) and got.count() == 45
     assert "Join" not in _plan(got)
+
+
+def test_products_round_as_sums_entry_by_entry():
+    rng = np.random.default_rng(8)
+    x, y = np.round(rng.normal(size=(70, 9)), 5), np.round(rng.normal(size=(90, 9)), 5)  # many sums end on half of the last digit
+    x[0] = y[0] = 0
+    assert np.array_equal(held.rounded_dots(x, y), held.rounded(held.dots(x, y)))
+    assert np.array_equal(held.rounded_dots(x, y, one_less=True), held.rounded(1 - held.dots(x, y)))
+    assert np.array_equal(held.rounded_dots(x * 1e12, y), held.rounded(held.dots(x * 1e12, y)))
+
+
+def test_pairs_are_counted_where_they_are_scored(spark):
+    emb = _table(spark, 1200)
+    bars = {"sure": 0.9, "likely": -0.25}
+    got = knn.count_above(emb, bars)
+    assert "score" not in _plan(got)
+    assert got.first().asDict() == knn.count_above(emb.withColumn("id", F.col("id").cast("string")), bars).first().asDict()
+    assert tuple(knn.count_above(emb.limit(0), bars).first()) == (0, 0, 0)
