@@ -105,3 +105,15 @@ def test_pairs_are_counted_where_they_are_scored(spark):
     assert "score" not in _plan(got)
     assert got.first().asDict() == knn.count_above(emb.withColumn("id", F.col("id").cast("string")), bars).first().asDict()
     assert tuple(knn.count_above(emb.limit(0), bars).first()) == (0, 0, 0)
+
+
+def test_closest_pairs_of_leaves_agree_with_joins(spark, monkeypatch):
+    from edgesmith.operators import lsh
+
+    emb = _table(spark, 500, 3)  # leaves of more than a strip, with ties
+    leaves = lsh.codes(emb, 3, 2, 3).unionByName(spark.createDataFrame([(-999, 0, "00"), (None, 0, "00"), (6, 0, None)], "id long, tree long, leaf string"))
+    want = lsh.pairs(emb, leaves).orderBy("distance", "u", "v").limit(400)
+    got = lsh.pairs(emb, leaves, 400)
+    assert _rows(got, "u", "v", "distance") == _rows(want, "u", "v", "distance")
+    assert "Join" not in _plan(got)
+    assert lsh.pairs(emb, leaves.limit(0), 5).count() == lsh.pairs(emb.limit(0), leaves, 5).count() == 0
