@@ -117,3 +117,8 @@ def test_closest_pairs_of_leaves_agree_with_joins(spark, monkeypatch):
     assert _rows(got, "u", "v", "distance") == _rows(want, "u", "v", "distance")
     assert "Join" not in _plan(got)
     assert lsh.pairs(emb, leaves.limit(0), 5).count() == lsh.pairs(emb.limit(0), leaves, 5).count() == 0
+    edges = want.select("u", "v").limit(90)
+    assert "Join" not in _plan(lsh.forest_pairs(emb, 50, 3, 4, 3, 2000))
+    got = _rows(lsh.forest_pairs(emb, 120, 3, 4, 3, 2000, edges), "u", "v", "distance")
+    monkeypatch.setattr(held, "hold", lambda *_: None)
+    assert got == _rows(lsh.forest_pairs(emb, 120, 3, 4, 3, 2000, edges), "u", "v", "distance") and len(got) == 120
