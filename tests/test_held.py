@@ -122,3 +122,17 @@ def test_closest_pairs_of_leaves_agree_with_joins(spark, monkeypatch):
     got = _rows(lsh.forest_pairs(emb, 120, 3, 4, 3, 2000, edges), "u", "v", "distance")
     monkeypatch.setattr(held, "hold", lambda *_: None)
     assert got == _rows(lsh.forest_pairs(emb, 120, 3, 4, 3, 2000, edges), "u", "v", "distance") and len(got) == 120
+
+
+def test_pairs_by_factors_agree_with_joins(spark, monkeypatch):
+    from edgesmith.operators import models
+
+    f = _table(spark, 300, 6).select(F.col("id").alias("node"), F.posexplode("vec").alias("c", "f"))  # many products on the bar
+    f = f.unionByName(spark.createDataFrame([(None, 0, 2.0), (7, None, 2.0), (7, 0, None), (6, 0, 1.0)], "node long, c int, f double"))
+    got = models.factor_pairs(f, 3.0)
+    assert "Join" not in _plan(got)
+    rows = _rows(got, "u", "v", "score")
+    monkeypatch.setattr(held, "HELD", 0)
+    assert rows == _rows(models.factor_pairs(f, 3.0), "u", "v", "score") and len(rows) > 1000
+    monkeypatch.undo()
+    assert models.factor_pairs(f.limit(0), 3.0).count() == models.factor_pairs(f, 1e9).count() == 0
