@@ -21,3 +21,13 @@ def test_similarities_agree_with_joins(spark, monkeypatch):
     other = {(r.node, r.landmark): r.sim for r in want.collect()}
     assert rows.keys() == other.keys() and max(abs(rows[k] - other[k]) for k in rows) < 1e-8
     assert shapes.landmark_similarity(Graph(g.edges.limit(0))).count() == 0
+
+
+def test_embeddings_agree_with_joins(spark):
+    g = _graph(spark)
+    got, want = ({r.id: np.array(r.vec) for r in shapes.structure_embedding(g, **how).collect()} for how in ({}, {"most": 0}))
+    assert got.keys() == want.keys()
+    ids = sorted(got)
+    a, b = (np.array([x[i] for i in ids]) for x in (got, want))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-5)  # the landmarks' vectors may turn
+    assert shapes.structure_embedding(Graph(g.edges.limit(0))).count() == 0
