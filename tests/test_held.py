@@ -136,3 +136,22 @@ def test_pairs_by_factors_agree_with_joins(spark, monkeypatch):
     assert rows == _rows(models.factor_pairs(f, 3.0), "u", "v", "score") and len(rows) > 1000
     monkeypatch.undo()
     assert models.factor_pairs(f.limit(0), 3.0).count() == models.factor_pairs(f, 1e9).count() == 0
+
+
+def test_links_fitted_in_tasks_agree_with_joins(spark, monkeypatch):
+    from edgesmith.operators import models
+    from edgesmith.plans import catalogue
+    from edgesmith.sources import views
+
+    emb = _table(spark, 150, 4).where("label is not null").withColumn("vec", F.transform("vec", lambda x: x / 2 + F.col("label") / 4))
+    monkeypatch.setattr(views, "vectors", lambda *_: emb)
+    run = catalogue.QUERIES["logistic_scores"]
+    got = run(spark, "")
+    assert "Join" not in _plan(got)
+    with monkeypatch.context() as m:
+        m.setattr(models, "fit_links", lambda fit, valid, grid, rounds, f=models.fit_links: f(fit, valid, grid, 300))
+        m.setattr(held, "hold", lambda *_: None)
+        want = {(r.u, r.v): r.p for r in run(spark, "").collect()}
+    rows = {(r.u, r.v): r.p for r in got.collect()}
+    assert rows.keys() == want.keys() and max(abs(rows[k] - want[k]) for k in rows) < 1e-3
+    assert max(rows.values()) - min(rows.values()) > 0.1
