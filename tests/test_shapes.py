@@ -31,3 +31,20 @@ def test_embeddings_agree_with_joins(spark):
     a, b = (np.array([x[i] for i in ids]) for x in (got, want))
     assert np.allclose(a @ a.T, b @ b.T, atol=1e-5)  # the landmarks' vectors may turn
     assert shapes.structure_embedding(Graph(g.edges.limit(0))).count() == 0
+
+
+def test_factors_of_a_held_graph_agree_with_joins(spark, monkeypatch):
+    from edgesmith.operators import models
+
+    monkeypatch.setattr(models, "ENTRIES", 300)
+    g = _graph(spark)
+    monkeypatch.setattr(models, "cut", lambda df: (_ for _ in ()).throw(AssertionError("written")))
+    for window in (1, 2, 3):
+        got = {r.id: np.array(r.vec) for r in models.factor_embedding(g, 5, window).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(models, "cut", lambda df: df.cache())
+            want = {r.id: np.array(r.vec) for r in models.factor_embedding(g, 5, window, edges=0).collect()}
+        assert got.keys() == want.keys()
+        ids = sorted(got)
+        a, b = (np.array([x[i] for i in ids]) for x in (got, want))
+        assert np.allclose(a, b, atol=1e-6)
