@@ -155,3 +155,20 @@ def test_links_fitted_in_tasks_agree_with_joins(spark, monkeypatch):
     rows = {(r.u, r.v): r.p for r in got.collect()}
     assert rows.keys() == want.keys() and max(abs(rows[k] - want[k]) for k in rows) < 1e-3
     assert max(rows.values()) - min(rows.values()) > 0.1
+
+
+def test_close_pairs_of_cells_agree_with_joins(spark, monkeypatch):
+    from edgesmith.operators import grouped
+    from edgesmith.operators.graph import Graph
+
+    emb = _table(spark, 400, 2)
+    near = emb.select(F.col("id").alias("u"), (F.col("id") + 7 * F.pmod("id", F.lit(3)) + 7).alias("v")).join(emb.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
+    g, groups = Graph(near.cache()), emb.where("label is not null").select(F.col("id").alias("node"), F.col("label").cast("long").alias("grp"))
+    made = [_rows(grouped.close_pairs(g, groups, 300, emb, tolerance), "u", "v", "score", "g1", "g2") for tolerance in (grouped.EXACT, 7_000)]
+    met = []
+    monkeypatch.setattr(grouped, "vector_pairs", lambda *x, f=grouped.vector_pairs: met.append(x) or f(*x))
+    grouped.close_pairs(g, groups, 300, emb)
+    assert not met  # no cell goes by joins
+    monkeypatch.setattr(held, "hold", lambda *_: None)
+    assert made == [_rows(grouped.close_pairs(g, groups, 300, emb, tolerance), "u", "v", "score", "g1", "g2") for tolerance in (grouped.EXACT, 7_000)]
+    assert met and len(made[0]) >= 300
