@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from edgesmith.llm import kernels, op1_fingerprints as op1, op2_suffix_dedup as op2, op10_jaccard_join as op10
+from edgesmith.llm import components, kernels, op1_fingerprints as op1, op2_suffix_dedup as op2, op10_jaccard_join as op10
 
 from . import fixtures as X
 from .test_others import against_sql
@@ -212,3 +212,26 @@ def test_fingerprints_edge_cases(spark):
     assert op1.edited_likeness(docs.limit(0)).count() == 0
     f = op1.fingerprints(docs.withColumn("fingerprint", F.lit("mine"))).collect()
     assert {r.row.fingerprint for r in f} == {"mine"} and len({r.fingerprint for r in f}) == 4
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """The driver joins few links as the rounds do, and writes the links and the labels only."""
+    r = np.random.default_rng(6)
+    rows = [*r.integers(0, 300, (150, 2)).tolist(), *([i, i + 1] for i in range(400, 480)), [900, 900], [7, 5], [5, 7]]
+    links = spark.createDataFrame(rows, "a long, b long")
+    up = {}
+    for a, b in rows:
+        if a != b:
+            x, y = up.setdefault(a, {a}), up.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                up |= dict.fromkeys(y, x)
+    want = {i: min(of) for i, of in up.items()}
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda *a, f=components.materialise: written.append(1) or f(*a))
+    for held, most in ((components.HELD, 2), (0, 99), (100, 99)):
+        written.clear()
+        got = components.components(links, held=held).collect()
+        assert len(got) == len(want) and {r.node: r.label for r in got} == want
+        assert len(written) <= most
+    assert components.components(links.limit(0)).count() == 0
