@@ -26,3 +26,13 @@ def test_ranked_walks_agree_with_joins(spark):
     want, got = walkrank.walk_candidates(g, visits, 3), walkrank.restart_candidates(g, nodes, 3, 8, 0.3)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin", "")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_sources_are_ranked_in_small_tasks(spark):
+    """More tasks than cores, so that none is left alone at the end; and each source once."""
+    g = Graph(spark.range(3000).selectExpr("id AS u", "id + 1 AS v"))
+    out = walkrank.pagerank(g, g.all_nodes(), 2, iterations=3)
+    assert out.rdd.getNumPartitions() >= 3000 // walkrank.RANKED
+    got = {(r.q, r.v): r.p for r in out.collect()}
+    assert len(got) == 2 * 3001 and {v for q, v in got if q == 1500} == {1497, 1503}
+    assert got[1500, 1497] == got[1500, 1503]
