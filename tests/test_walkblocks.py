@@ -48,7 +48,7 @@ def test_arrays_come_back(spark):
         assert a.dtype.kind == b.dtype.kind and a.tolist() == b.tolist()
 
 
-@pytest.mark.parametrize("name", ["walk_candidates_bipartite"])
+@pytest.mark.parametrize("name", ["walk_candidates_bipartite", "walk_candidates_full"])
 def test_no_term_is_shuffled(spark, name):
     from edgesmith.plans import catalogue
 
