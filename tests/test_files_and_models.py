@@ -1,6 +1,7 @@
 """Readers, writers, vectors and models."""
 
 import numpy as np
+import pytest
 
 from edgesmith.operators import graph as G
 from edgesmith.operators import grouped, knn, lsh, models, search
@@ -114,6 +115,17 @@ def test_skipgram_loss_falls(spark):
     assert losses[-1] < losses[0]
 
 
+def test_skipgram_in_tasks_agrees_with_joins(spark, monkeypatch):
+    g = G.Graph(spark.createDataFrame([(2 * i, 2 * j + 1) for i in range(9) for j in range(9) if (i * j) % 3], "a long, b long").selectExpr("least(a,b) u", "greatest(a,b) v").cache())
+    walks = models.walk_corpus(g, g.all_nodes().selectExpr("node", "3 AS walks"), 3).cache()
+    want, losses = models.skipgram_embedding(g, walks, 4, 3, reach=2, held=0)
+    monkeypatch.setattr(models, "PAIRS", 40)
+    got, same = models.skipgram_embedding(g, walks, 4, 3, reach=2)
+    assert same == pytest.approx(losses, rel=1e-9) and "Join" not in got._jdf.queryExecution().toString()
+    want = {r.id: r.vec for r in want.collect()}
+    assert {r.id: r.vec for r in got.collect()} == {k: pytest.approx(x, abs=1e-9) for k, x in want.items()} and len(want) > 9
+
+
 def test_factor_ensemble(spark):
     g = ring(spark)
     got = models.nmf_ensemble(g, 10, bags=2, share=0.5, epsilon=0.01).collect()
