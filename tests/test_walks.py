@@ -36,3 +36,29 @@ def test_sources_are_ranked_in_small_tasks(spark):
     got = {(r.q, r.v): r.p for r in out.collect()}
     assert len(got) == 2 * 3001 and {v for q, v in got if q == 1500} == {1497, 1503}
     assert got[1500, 1497] == got[1500, 1503]
+
+
+def test_dense_ranks_are_summed_a_few_sources_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    ends = np.unique(np.sort(rng.integers(0, 300, (1500, 2)), axis=1), axis=0)
+    ends = ends[ends[:, 0] < ends[:, 1]]
+    ends = np.unique(np.concatenate([ends, [[0, i] for i in range(1, 120)]]), axis=0)  # a hub beyond PLACES
+    h = object.__new__(walkrank.Held)
+    h.nodes = np.unique(ends)
+    src, dst = np.searchsorted(h.nodes, np.concatenate([ends, ends[:, ::-1]]).T)
+    h.to, h.deg = dst[np.lexsort((dst, src))].astype(np.int32), np.bincount(src)
+    h.first = np.cumsum(h.deg) - h.deg
+    widths = []
+    sums = walkrank.Near.sums
+    monkeypatch.setattr(walkrank, "FEW", 0)
+    monkeypatch.setattr(walkrank.Near, "sums", lambda self, p, *a: widths.append(p.shape[1]) or sums(self, p, *a))
+    own, step = np.arange(10), np.zeros((len(h.nodes), len(h.nodes)))
+    step[src, dst] = 0.8 / h.deg[src]
+    want = start = np.eye(len(h.nodes))[own]
+    for _ in range(20):
+        want = want @ step + 0.2 * start
+    for row, (at, p) in zip(want, walkrank.Ranks(h, 0.8, 20).of(own), strict=True):
+        got = np.zeros(len(h.nodes))
+        got[at] = p
+        assert np.allclose(got, row, rtol=0, atol=1e-13)
+    assert widths and max(widths) == 4
