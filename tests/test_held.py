@@ -172,3 +172,26 @@ def test_close_pairs_of_cells_agree_with_joins(spark, monkeypatch):
     monkeypatch.setattr(held, "hold", lambda *_: None)
     assert made == [_rows(grouped.close_pairs(g, groups, 300, emb, tolerance), "u", "v", "score", "g1", "g2") for tolerance in (grouped.EXACT, 7_000)]
     assert met and len(made[0]) >= 300
+
+
+def test_links_fitted_by_squares_reach_the_optimum(spark, monkeypatch):
+    from edgesmith.operators import links
+
+    emb = _table(spark, 180, 4).where("label is not null").withColumn("vec", F.transform("vec", lambda x: x / 2 + F.col("label") / 4))
+    vectors = held.hold(emb, "label")
+    monkeypatch.setattr(links, "ROWS", 16)
+    monkeypatch.setattr(links, "WIDE", 50)
+    shared = spark.sparkContext.broadcast(vectors)
+    drawn = links.draw(spark, shared, 42)
+    exact = links.fit(drawn, shared, (1.0,))[0]
+    monkeypatch.setattr(links, "BENDS", 200)  # the bend of a part of the pairs, the slope of all
+    part = links.fit(drawn, shared, (1.0,))[0]
+    assert np.abs(part - exact).max() < 1e-5
+    i, j = np.triu_indices(len(vectors.ids), 1)
+    taken = np.array([np.unpackbits(np.frombuffer(r.fit, np.uint8), count=r.j) for r in drawn.orderBy("j").collect()], dtype=object)
+    keep = np.array([bool(taken[b][a]) for a, b in zip(i, j, strict=True)])
+    i, j = i[keep], j[keep]
+    x = np.column_stack([np.ones(len(i)), vectors.matrix[i] * vectors.matrix[j]])
+    y, p = vectors.more[i] == vectors.more[j], 1 / (1 + np.exp(-x @ exact))
+    slope = x.T @ (p - y) / len(y) + np.append(0, exact[1:]) / len(y)
+    assert np.abs(slope).max() < 1e-7 and 0.01 < y.mean() < 0.99
